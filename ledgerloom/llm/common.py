@@ -69,3 +69,11 @@ def slices(texts: list, limit: int):
         size += n
     if start < len(texts):
         yield start, len(texts)
+
+
+def fresh(name: str, taken) -> str:
+    """``name``, with underscores added until no column of ``taken`` has it."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
