@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, packing, tokens, toxicity
+from . import decontaminate, langid, packing, substrings, tokens, toxicity
 from .common import id_bucket, table
 
 
@@ -37,10 +37,16 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, names = substrings.find_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *[F.col(c) for c in names if c != "kept"])
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
     "op3_decontamination": op3_decontamination,
     "op7_token_counts": op7_token_counts,
     "op9_packing": op9_packing,
+    "op10_substring_dedup": op10_substring_dedup,
 }
