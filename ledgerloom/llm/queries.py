@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, minhash, packing, substrings, tokens, toxicity
+from . import decontaminate, embeddings, langid, minhash, packing, substrings, tokens, toxicity
 from .common import id_bucket, table
 
 
@@ -37,6 +37,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_token_counts": op7_token_counts,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_packing": op9_packing,
     "op10_substring_dedup": op10_substring_dedup,
 }
