@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, langid, minhash, packing, substrings, tokens, toxicity
-from .common import id_bucket, table
+from . import chat, decontaminate, embeddings, langid, minhash, packing, substrings, tokens, toxicity, warc
+from .common import id_bucket, scratch_path, table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,22 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_captures(table(spark, sf_dir, "pages"), path)
+    captures = warc.assemble(warc.read_records(spark, path, keep_payload=False))
+    page = F.get_json_object("metadata.fields", "$.page-id").cast("long")
+    rows = captures.select("capture_id", page.alias("page_id"), "response", F.col("refers_to").alias("earlier"))
+    earlier = rows.select(F.col("capture_id").alias("earlier"), F.col("page_id").alias("refers_to"))
+    return rows.join(earlier, "earlier", "left").select("page_id", "response.payload_bytes", "response.payload_digest", F.col("response.warc_type").alias("record_type"), "refers_to")
+
+
+def op5_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat.format_preferences(chat.sibling_pairs(table(spark, sf_dir, "conversations")))
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias(c)
+    return found.select("conv_id", "prompt_turns", "prompt", "chosen_text", spans("chosen_spans"), "rejected_text", spans("rejected_spans"))
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
@@ -54,6 +70,8 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
     "op3_decontamination": op3_decontamination,
+    "op4_warc": op4_warc,
+    "op5_preferences": op5_preferences,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_embedding_dedup": op8_embedding_dedup,
