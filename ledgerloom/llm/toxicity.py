@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, fresh
 
-MAX_ROWS = (3000, 2000)  # of label 0 and of label 1
-MAX_CHARS = 24_000_000
+MAX_ROWS = (2500, 1500)  # of label 0 and of label 1
+MAX_CHARS = 12_000_000
 BUCKETS = 1 << 18
 DIM = 12
 GRAMS = (3, 4, 5, 6)
@@ -34,7 +34,7 @@ TOP_WORDS = 2
 #: (words in a document's bag, epochs)
 SCHEDULE = ((40, 20), (10, 20), (TOP_WORDS, 50))
 STEP, DECAY = 20.0, 1e-3
-CACHE_LIMIT = 1_500_000
+CACHE_LIMIT = 600_000
 _WORD = re.compile(r"\w+")
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
@@ -118,13 +118,15 @@ def fit(texts: list[str], labels: list[int], weights: list[float] | None = None,
     weight = np.ones(len(y)) if weights is None else np.array(weights, dtype=float)
     if not len(y):
         return Model(np.zeros((BUCKETS, 1), np.float32), np.zeros((1, 2)), 1.0, 0.0)
-    bags = [sorted(words_of(t)) for t in texts]
     vocabulary: dict[str, int] = {}
-    flat = np.array([vocabulary.setdefault(w, len(vocabulary)) for bag in bags for w in bag], dtype=np.int64)
-    ends = np.cumsum([0, *map(len, bags)])
-    grams, of = subwords(list(vocabulary), BUCKETS)
-    order = np.argsort(of, kind="stable")
-    grams, of = grams[order], of[order]
+    bags = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in sorted(words_of(t))], dtype=np.int32) for t in texts]
+    flat, ends = np.concatenate(bags), np.cumsum([0, *map(len, bags)])
+    known, parts = list(vocabulary), []
+    for i in range(0, len(known), 20_000):
+        grams, of = subwords(known[i : i + 20_000], BUCKETS)
+        order = np.argsort(of, kind="stable")
+        parts.append((grams[order].astype(np.int32), (of[order] + i).astype(np.int32)))
+    grams, of = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int32),) * 2
     n_grams = np.maximum(np.bincount(of, minlength=len(vocabulary)), 1)
     first = np.cumsum(n_grams) - n_grams
     held = np.arange(len(y)) % 5 == 4
@@ -243,8 +245,8 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     bound_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x DIM numbers
     schema = docs.schema if keep else docs.select(docs[id_col].alias("id")).schema
-    source = docs.select(docs[text_col].cast("string").alias("_text"), *([docs[c] for c in docs.columns] if keep else [docs[id_col].alias("id")]))
-    name = "toxicity_score" if keep else "score"
+    source = docs.select(docs[text_col].cast("string").alias(fresh("_text", docs.columns)), *([docs[c] for c in docs.columns] if keep else [docs[id_col].alias("id")]))
+    name = fresh("toxicity_score", docs.columns) if keep else "score"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = held.value
@@ -254,3 +256,9 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
     out = source.mapInArrow(run, type(schema)(schema.fields).add(name, "double"))
     return out if keep else out.withColumnRenamed("id", id_col)
+
+
+def drop_toxic(docs: DataFrame, model: Model, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with their columns."""
+    scored = score_documents(docs, model, id_col, text_col, keep=True)
+    return scored.where(F.col(scored.columns[-1]) < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
