@@ -13,7 +13,10 @@ Documents of equal word sequences are one node.  Nodes that agree in a band of t
 signature meet in a bucket.  Each node is verified against the bucket's head, the member
 that meets most others; what is then still outside the head's component is verified
 against all bucket members of other components.  So no link that could join two
-components is skipped, and members that already hang together are not paired.
+components is skipped, and members that already hang together are not paired.  In buckets
+of at most ``PAIRED`` nodes the second step lists pairs, each once for all its buckets;
+larger buckets are dealt into blocks, and a task compares two blocks by one table of
+shared shingles and sends back only the links.
 """
 
 from __future__ import annotations
@@ -25,9 +28,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from .common import bound_batches, durable, slices
+from .common import bound_batches, durable, fresh, slices
 from .components import components
 
 SHINGLE = 5
@@ -35,6 +39,10 @@ THRESHOLD = 0.8
 BANDS, ROWS = 24, 5
 #: Nodes of a pair list up to which it may be broadcast (24 bytes each).
 BROADCAST_NODES = 200_000
+#: Nodes of a bucket up to which its remaining pairs are listed.
+PAIRED = 48
+#: Nodes and words of a block of a larger bucket.
+BLOCK_NODES, BLOCK_WORDS = 512, 400_000
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 
@@ -205,6 +213,80 @@ def verify(pairs: DataFrame, docs: DataFrame, threshold: float, text_col: str =
     return durable(joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary"))
 
 
+def shared(h: np.ndarray, weight: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
+    """For each two of some documents, the size of the overlap of their multisets."""
+    copies = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
+    h, doc = _mix(np.repeat(h, weight) + copies.astype(_U) * _BASE), np.repeat(doc, weight)  # a copy more is an element more
+    order = np.lexsort((doc, h))
+    h, doc = h[order], doc[order]
+    heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    often = np.diff(np.append(heads, len(h)))
+    out = np.zeros(docs * docs, dtype=np.float32)
+    for k in np.unique(often[(often > 1) & (often < 12)]):
+        members = doc[heads[often == k][:, None] + np.arange(k)]
+        for a in range(0, len(members), 1 << 15):
+            m = members[a : a + (1 << 15)]
+            out += np.bincount((m[:, :, None] * docs + m[:, None, :]).reshape(-1), minlength=docs * docs).astype(np.float32)
+    out = out.reshape(docs, docs)
+    many = np.flatnonzero(often >= 12)
+    for a in range(0, len(many), 4096):
+        part = many[a : a + 4096]
+        x = np.zeros((docs, len(part)), dtype=np.float32)
+        for c, i in enumerate(part):
+            x[doc[heads[i] : heads[i] + often[i]], c] = 1
+        out += x @ x.T
+    return out
+
+
+def _block_links(placed: DataFrame, docs: DataFrame, threshold: float, text_col: str) -> DataFrame:
+    """Links in large buckets between nodes of different components, one of them outside the main one.
+
+    ``placed``: (bucket, node, n, component, main).
+    """
+    size = placed.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / BLOCK_NODES, F.sum("n") / BLOCK_WORDS)).cast("int").alias("blocks"))
+    rows = placed.join(size, "bucket").withColumn("side", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    group = ("bucket", "i", "j")
+    rows = rows.select("bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "component", (F.col("component") != F.col("main")).alias("outside"))
+    texts = durable(node_texts(docs, durable(placed.select("node").distinct()), text_col))
+    rows = rows.join(texts, "node").repartition(*group).sortWithinPartitions(*group)
+
+    def compare(rows: list[tuple]) -> tuple[list[bytes], list[bytes]]:
+        side, node, component, outside, text = zip(*rows, strict=True)
+        if not any(outside):
+            return [], []
+        h, weight, doc = shingles([words_of(t) for t in text])
+        same = shared(h, weight, doc, len(rows))
+        total = np.bincount(doc, weight, len(rows))
+        _, part = np.unique(np.array(component, dtype=object), return_inverse=True)
+        out, side = np.array(outside), np.array(side)
+        close = same / (total[:, None] + total[None, :] - same) >= threshold - 1e-6
+        close &= (part[:, None] != part[None, :]) & (out[:, None] | out[None, :])
+        if len(set(side)) > 1:
+            close &= side[:, None] != side[None, :]
+        i, j = np.nonzero(np.triu(close, 1))
+        return [node[k] for k in i], [node[k] for k in j]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[tuple] = []
+        key = None
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in (*group, "side", "node", "component", "outside", "text")]
+            for bucket, i, j, *rest in zip(*columns, strict=True):
+                if (bucket, i, j) != key:
+                    if len(waiting) > 1:
+                        yield built(compare(waiting))
+                    waiting, key = [], (bucket, i, j)
+                waiting.append(tuple(rest))
+        if len(waiting) > 1:
+            yield built(compare(waiting))
+
+    def built(links: tuple[list[bytes], list[bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in links], names=["a", "b"])
+
+    return durable(rows.mapInArrow(run, "a binary, b binary"))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, node, class_id, kept) of each row: the least id of its class, and whether it is that.
 
@@ -223,7 +305,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     score = met.groupBy("node").agg(F.sum("size").alias("score"))
     met = met.join(score, "node")
     heads = met.groupBy("bucket").agg(F.max(F.struct("score", "node")).getField("node").alias("head"))
-    met = durable(met.drop("score", "size").join(heads, "bucket"))
+    met = durable(met.drop("score").join(heads, "bucket"))
     ratio = F.least("n", "m") >= threshold * F.greatest("n", "m")
     pair = (F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
     head_n = met.where("node = head").select("bucket", F.col("n").alias("m"))
@@ -232,15 +314,39 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     part = durable(components(links))
     placed = met.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     of_head = part.select(F.col("node").alias("head"), F.col("component").alias("main"))
-    placed = durable(placed.join(of_head, "head", "left").withColumn("main", F.coalesce("main", "head")))
-    outside = placed.where("component != main").select("bucket", "node", "n", "component")
-    inside = placed.select("bucket", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("there"))
+    placed = placed.join(of_head, "head", "left").withColumn("main", F.coalesce("main", "head"))
+    mixed = placed.groupBy("bucket").agg(F.max(F.col("component") != F.col("main")).alias("mixed")).where("mixed").select("bucket")
+    placed = durable(placed.join(mixed, "bucket"))
+    small = placed.where(F.col("size") <= PAIRED)
+    outside = small.where("component != main").select("bucket", "node", "n", "component")
+    inside = small.select("bucket", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("there"))
     second = outside.join(inside, "bucket").where((F.col("component") != F.col("there")) & ratio).select(*pair).distinct()
     second = durable(second.join(first, ["a", "b"], "left_anti"))
-    part = components(links.union(verify(second, docs, threshold, text_col)))
+    large = placed.where(F.col("size") > PAIRED).select("bucket", "node", "n", "component", "main")
+    links = links.union(verify(second, docs, threshold, text_col)).union(_block_links(large, docs, threshold, text_col))
+    part = components(links)
     classed = nodes.select("node", "least").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = classed.groupBy("component").agg(F.min("least").alias("class_id"))
     classed = classed.join(least, "component").select("node", "class_id", "component")
     out = rows.select("id", "node").join(classed, "node", "left")
     class_id = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id"))
     return out.select(F.col("id").alias(id_col), "node", "component", class_id.alias("class_id")).withColumn("kept", F.col("class_id").eqNullSafe(F.col(id_col)))
+
+
+def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each near-duplicate class, that of the smallest id, with its columns.
+
+    Rows without words all stay, but for rows repeated under one id.
+    """
+    found = near_duplicates(docs, threshold, id_col, text_col).where("kept").select(F.col(id_col).alias("id"), F.col("node").alias("key")).distinct()
+    raw, node = fresh("raw_text", docs.columns), fresh("node", docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = [node_of(t) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(nodes, pa.binary())], names=[*batch.schema.names[1:], node])
+
+    keyed = docs.select(docs[text_col].cast("string").cast("binary").alias(raw), *[docs[c] for c in docs.columns])
+    keyed = keyed.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(node, T.BinaryType())]))
+    kept = keyed.join(found, keyed[id_col].eqNullSafe(found["id"]) & keyed[node].eqNullSafe(found["key"]), "left_semi")
+    return kept.dropDuplicates([id_col, node]).select(*[F.col(f"`{c}`") for c in docs.columns])
