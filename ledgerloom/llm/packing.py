@@ -132,7 +132,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capaci
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = PieceEncoder(tokenizer_path), None
+        encoder, packer = PieceEncoder.of(tokenizer_path), None
         id_type = None
 
         def built(rows: list[tuple]) -> pa.RecordBatch:
@@ -143,14 +143,14 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capaci
             keys, texts, parts = (batch.column(i).to_pylist() for i in range(3))
             id_type = batch.column(0).type
             rows: list[tuple] = []
-            for key, text, part in zip(keys, texts, parts, strict=True):
+            for key, ids, part in zip(keys, encoder.encode(texts), parts, strict=True):
                 if packer is None:
                     packer = VectorPacker(part << 40, capacity, max_segments, max_loss)
-                rows.extend(packer.add(key, encoder.encode(text) + end))
+                rows.extend(packer.add(key, ids + end))
             if rows:
                 yield built(rows)
         if packer is not None and (rows := list(packer.flush())):
             yield built(rows)
 
-    out = docs.select(docs[id_col], docs[text_col].cast("string"), F.spark_partition_id().cast("long")).mapInArrow(run, schema)
+    out = docs.select(docs[id_col], docs[text_col].cast("string").cast("binary"), F.spark_partition_id().cast("long")).mapInArrow(run, schema)
     return out.withColumnRenamed("id", id_col)

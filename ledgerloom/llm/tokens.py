@@ -12,22 +12,24 @@ from __future__ import annotations
 import os
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bound_batches
+from .common import bound_batches, slices
 
 #: Distinct pre-tokens a worker keeps before it starts its table anew.
-TABLE_LIMIT = 1_500_000
-_MISSES = 4096
+TABLE_LIMIT = 1_400_000
+_SLICE = 1 << 22  # characters whose words are learned together
+_GROUP = 256
+_BATCHED = 64
 #: A blank at the edge of a text or beside other white space: no certain cut there.
 _LOOSE = re.compile(r"^\s|\s$|\s\s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-#: What Python and the tokenizer's patterns might not both take for white space.
-_ODD_SPACE = re.compile(r"[^\S \t\n\r\f\v]")
+#: Tables by kind and file; they outlive a task where Spark reuses its Python workers.
+_tables: dict = {}
 
 
 def load_tokenizer(path: str):
@@ -41,81 +43,99 @@ def load_tokenizer(path: str):
     return tokenizer
 
 
-class PieceCounter:
-    """Counts tokens of a byte-level BPE whose pre-tokens may start with one blank.
-
-    The cut is made before a single blank between two visible characters: every
-    pre-token ends there, and what follows does not depend on what went before.
-    """
+class _PieceTable:
+    """A bounded table of what the tokenizer makes of each distinct piece."""
 
     def __init__(self, path: str, limit: int = TABLE_LIMIT):
         self.tokenizer, self.limit, self.known = load_tokenizer(path), limit, {}
+        special = {x.content: i for i, x in self.tokenizer.get_added_tokens_decoder().items() if x.special and not (x.lstrip or x.rstrip or x.single_word)}
+        self.mark, self.mark_id = next(iter(special.items()), (None, None))
+
+    @classmethod
+    def of(cls, path: str) -> _PieceTable:
+        """The table of this worker."""
+        if (cls, path) not in _tables:
+            _tables[cls, path] = cls(path)
+        return _tables[cls, path]
+
+    def encode_pieces(self, pieces: list[str]) -> list[np.ndarray]:
+        """The ids of each piece.  Many go to the library as one text, with a special token as
+        the mark between them: it always splits a text, and what is between marks stands alone."""
+        if self.mark is None or any(self.mark in p for p in pieces):
+            return [np.array(x.ids, dtype="<u4") for x in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
+        groups = [pieces[i : i + _GROUP] for i in range(0, len(pieces), _GROUP)]
+        out: list[np.ndarray] = []
+        for i in range(0, len(groups), _BATCHED):
+            part = groups[i : i + _BATCHED]
+            for group, x in zip(part, self.tokenizer.encode_batch_fast([self.mark.join(g) for g in part], add_special_tokens=False), strict=True):
+                ids = np.array(x.ids, dtype="<u4")
+                cuts = np.flatnonzero(ids == self.mark_id).tolist()
+                if len(cuts) != len(group) - 1:
+                    raise ValueError("the tokenizer did not split at its special token")
+                out += [ids[a:b] for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True)]
+        return out
 
-    def _sizes(self, pieces: list[str]) -> list[int]:
-        return [len(x.ids) for x in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
+    def make(self, pieces: list) -> list:
+        raise NotImplementedError
 
-    def _learn(self, words: Iterable[str]) -> None:
-        missing = [w for w in words if w not in self.known]
+    def learn(self, words: set) -> None:
+        """Add what is missing; where that would be too much, the table starts anew."""
+        missing = words.difference(self.known)
         if len(self.known) + len(missing) > self.limit:
             self.known.clear()
-        for i in range(0, len(missing), _MISSES):
-            part = missing[i : i + _MISSES]
-            self.known.update(zip(part, self._sizes([" " + w for w in part]), strict=True))
+            missing = words
+        mark = self.mark.encode() if self.mark is not None and isinstance(next(iter(missing), ""), bytes) else self.mark
+        plain = [w for w in missing if mark is None or mark not in w]
+        odd = [w for w in missing if mark is not None and mark in w]
+        for part in (plain, odd):
+            for i in range(0, len(part), _GROUP * _BATCHED):
+                few = part[i : i + _GROUP * _BATCHED]
+                self.known.update(zip(few, self.make(few), strict=True))
+
+
+class PieceCounter(_PieceTable):
+    """Counts tokens of a byte-level BPE whose pre-tokens may start with one blank.
+
+    The cut is made before a single blank between two visible characters: every
+    pre-token ends there, and what follows does not depend on what went before.
+    """
+
+    def make(self, pieces: list[str]) -> list[int]:
+        return [len(x) for x in self.encode_pieces([" " + w for w in pieces])]
 
     def count(self, texts: list[str | None]) -> list[int]:
         """Tokens of each text; none for null and empty texts."""
-        out = []
-        for text in texts:
-            if not text:
-                out.append(0)
-                continue
-            first, *rest = _CUT.split(text) if _LOOSE.search(text) else text.split(" ")
-            frequency = Counter(rest)
-            try:
-                total = sum([self.known[w] * n for w, n in frequency.items()])
-            except KeyError:
-                kept, seen = 0, [w for w in frequency if w in self.known]
-                kept = sum(self.known[w] * frequency.pop(w) for w in seen)
-                words = list(frequency)
-                for i in range(0, len(words), self.limit):
-                    part = words[i : i + self.limit]
-                    self._learn(part)
-                    kept += sum(self.known[w] * frequency[w] for w in part)
-                total = kept
-            out.append(total + self._sizes([first])[0])
+        out: list[int] = []
+        for a, b in slices(texts, _SLICE):
+            firsts, frequencies = [], []
+            for text in texts[a:b]:
+                first, *rest = ("",) if not text else _CUT.split(text) if _LOOSE.search(text) else text.split(" ")
+                firsts.append(first)
+                frequencies.append(Counter(rest))
+            self.learn(set().union(*frequencies))
+            known, heads = self.known, [len(x.ids) for x in self.tokenizer.encode_batch(firsts, add_special_tokens=False)]
+            out += [n + sum([known[w] * k for w, k in f.items()]) for n, f in zip(heads, frequencies, strict=True)]
         return out
 
 
-class PieceEncoder:
+class PieceEncoder(_PieceTable):
     """Ids, as little-endian unsigned 32-bit bytes, of a BPE that drops white space.
 
     No pre-token of such a tokenizer crosses white space, so the ids of a text are the
-    ids of its words put together.  Texts with unusual white space go to the library whole.
+    ids of its words put together.  Texts are UTF-8 and split at ASCII white space only;
+    any other white space stays within a piece and is left to the library.
     """
 
-    def __init__(self, path: str, limit: int = TABLE_LIMIT):
-        self.tokenizer, self.limit, self.known = load_tokenizer(path), limit, {}
+    def make(self, pieces: list[bytes]) -> list[bytes]:
+        return [x.tobytes() for x in self.encode_pieces([p.decode() for p in pieces])]
 
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if _ODD_SPACE.search(text):
-            return self._encode([text])[0]
-        words = text.split()
-        try:
-            return b"".join([self.known[w] for w in words])
-        except KeyError:
-            missing = list({w for w in words if w not in self.known})
-        if len(self.known) + len(missing) > self.limit:
-            self.known.clear()
-            missing = list(set(words))
-        for i in range(0, len(missing), _MISSES):
-            part = missing[i : i + _MISSES]
-            self.known.update(zip(part, self._encode(part), strict=True))
-        return b"".join([self.known[w] for w in words])
+    def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
+        for a, b in slices(texts, _SLICE):
+            words = [t.split() if t else [] for t in texts[a:b]]
+            self.learn(set().union(*words))
+            known = self.known.__getitem__
+            for found in words:
+                yield b"".join(map(known, found))
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -131,7 +151,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PieceCounter(tokenizer_path)
+        counter = PieceCounter.of(tokenizer_path)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             n = np.array(counter.count(texts), dtype="int64")
