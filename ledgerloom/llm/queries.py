@@ -35,8 +35,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = warc.assemble(warc.read_records(spark, path, keep_payload=False))
     page = F.get_json_object("metadata.fields", "$.page-id").cast("long")
     rows = captures.select("capture_id", page.alias("page_id"), "response", F.col("refers_to").alias("earlier"))
-    earlier = rows.select(F.col("capture_id").alias("earlier"), F.col("page_id").alias("refers_to"))
-    return rows.join(earlier, "earlier", "left").select("page_id", "response.payload_bytes", "response.payload_digest", F.col("response.warc_type").alias("record_type"), "refers_to")
+    target = rows.select(F.col("capture_id").alias("target"), F.col("page_id").alias("target_page"))
+    # responses meet themselves, so that no null key gathers them in one task
+    rows = rows.withColumn("target", F.coalesce("earlier", "capture_id")).join(target, "target", "left")
+    rows = rows.withColumn("refers_to", F.when(F.col("earlier").isNotNull(), F.col("target_page")))
+    return rows.select("page_id", "response.payload_bytes", "response.payload_digest", F.col("response.warc_type").alias("record_type"), "refers_to")
 
 
 def op5_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
