@@ -106,7 +106,7 @@ class Model:
         miss = np.flatnonzero(keys[at] != grams)
         if len(miss):
             if order == 1:
-                out[miss] = -np.log(len(self.alphabet) + 2.0)
+                out[miss] = self.backoff[0][0] - np.log(len(self.alphabet) + 2.0)
             else:
                 part = grams[miss]
                 lower = self._look_up(part & ((1 << (_BITS * (order - 1))) - 1), order - 1)
@@ -132,6 +132,8 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Language, score, lowest cross-entropy and rejection of each text."""
+        if not self.langs:
+            return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.ones(len(texts), bool)
         bits, sizes = self.cross_entropy(texts)
         best = bits.argmin(axis=1)
         low = bits[np.arange(len(texts)), best]
@@ -147,10 +149,10 @@ def _merge(keys: list[np.ndarray]) -> np.ndarray:
 
 
 def fit(samples: dict[str, list[str]], order: int = ORDER) -> Model:
-    """Fit the models on texts by language; at least one language with a letter is needed."""
+    """Fit the models on texts by language; without any, every text is ``und`` and rejected."""
     langs = sorted(samples)
     if not langs:
-        raise ValueError("no labelled row with a letter to learn from")
+        return Model([], np.zeros(0, np.int64), [], [], [], [], 1.0, np.zeros(0))
     points = np.concatenate([_points(samples[x])[0] for x in langs])
     letters, often = np.unique(points[letter_table()[points]], return_counts=True)
     alphabet = np.sort(letters[np.argsort(-often, kind="stable")][: (1 << _BITS) - 2]).astype(np.int64)
@@ -184,6 +186,7 @@ def fit(samples: dict[str, list[str]], order: int = ORDER) -> Model:
         np.add.at(kinds, of, seen > 0)
         gamma = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
         if k == 1:
+            model.contexts[0], model.backoff[0] = contexts, np.log(gamma).astype(np.float32)
             lower = np.full((len(keys), len(langs)), uniform)
         else:
             lower = np.exp(model._look_up(keys & ((1 << (_BITS * (k - 1))) - 1), k - 1).astype(float))
