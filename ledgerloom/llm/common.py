@@ -22,6 +22,21 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
 
 
+_slot: list = [None, None]
+
+
+def worker_cache(key, make):
+    """What ``make`` gives for ``key``, kept until another key is asked for.
+
+    Python workers outlive tasks and stages; with one slot a worker holds the tables of
+    the operator it works for, and not those of all the operators it once worked for.
+    """
+    if _slot[0] != key:
+        _slot[:] = [None, None]
+        _slot[:] = [key, make()]
+    return _slot[1]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 

@@ -15,6 +15,7 @@ class, the smallest hashes first, ``MAX_CHARS`` in all).  Scoring covers whole t
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bound_batches, fresh
+from .common import bound_batches, fresh, worker_cache
 
 MAX_ROWS = (2500, 1500)  # of label 0 and of label 1
 MAX_CHARS = 12_000_000
@@ -54,7 +56,7 @@ def subwords(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     h = np.zeros(len(points), dtype=np.uint64)
     for n in range(1, GRAMS[-1] + 1):
         h = h * _MULTIPLY
-        h[: len(points) - n + 1] += points[n - 1 :] + np.uint64(1)
+        h[: max(0, len(points) - n + 1)] += points[n - 1 :] + np.uint64(1)
         if n >= GRAMS[0]:
             ok = left >= n
             found.append(h[ok] + np.uint64(n))
@@ -78,32 +80,33 @@ class Model:
     shift: float
 
     def __post_init__(self):
-        self.known: dict[str, float] = {}
+        self.name = uuid.uuid4().hex
         self.weight = self.embeddings @ (self.softmax[:, 1] - self.softmax[:, 0])
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         grams, of = subwords(words, len(self.weight))
         return np.bincount(of, self.weight[grams], len(words)) / np.maximum(np.bincount(of, minlength=len(words)), 1)
 
-    def raw(self, texts: list[str | None]) -> np.ndarray:
-        """The mean of the highest word scores of each text; 0 without words."""
+    def raw(self, texts: list[str | None], known: dict[str, float] | None = None) -> np.ndarray:
+        """The mean of the highest word scores of each text; 0 without words.  ``known``: scores of words so far."""
+        known = {} if known is None else known
         bags = [words_of(t) for t in texts]
-        missing = list(set().union(*bags).difference(self.known)) if bags else []
-        if len(self.known) + len(missing) > CACHE_LIMIT:
-            self.known.clear()
+        missing = list(set().union(*bags).difference(known)) if bags else []
+        if len(known) + len(missing) > CACHE_LIMIT:
+            known.clear()
             missing = list(set().union(*bags))
         for i in range(0, len(missing), 50_000):
             part = missing[i : i + 50_000]
-            self.known.update(zip(part, self.word_scores(part).tolist(), strict=True))
+            known.update(zip(part, self.word_scores(part).tolist(), strict=True))
         out = np.zeros(len(texts))
         for i, bag in enumerate(bags):
             if bag:
-                s = np.fromiter(map(self.known.__getitem__, bag), dtype=float, count=len(bag))
+                s = np.fromiter(map(known.__getitem__, bag), dtype=float, count=len(bag))
                 out[i] = np.sort(s if len(s) <= TOP_WORDS else np.partition(s, -TOP_WORDS)[-TOP_WORDS:]).mean()
         return out
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scale * self.raw(texts) + self.shift, -40, 40)))
+    def score(self, texts: list[str | None], known: dict[str, float] | None = None) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.scale * self.raw(texts, known) + self.shift, -40, 40)))
 
 
 def _top(scores: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,11 +116,14 @@ def _top(scores: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np
 
 
 def fit(texts: list[str], labels: list[int], weights: list[float] | None = None, seed: int = 7) -> Model:
-    """Fit on texts with labels 0 and 1; ``weights`` restore the base rate of a sample."""
+    """Fit on texts with labels 0 and 1; ``weights`` restore the base rate of a sample.
+
+    Without any text the score is 0.007 for all.
+    """
     y = np.array(labels, dtype=float)
     weight = np.ones(len(y)) if weights is None else np.array(weights, dtype=float)
     if not len(y):
-        return Model(np.zeros((BUCKETS, 1), np.float32), np.zeros((1, 2)), 1.0, 0.0)
+        return Model(np.zeros((BUCKETS, 1), np.float32), np.zeros((1, 2)), 1.0, -5.0)
     vocabulary: dict[str, int] = {}
     bags = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in sorted(words_of(t))], dtype=np.int32) for t in texts]
     flat, ends = np.concatenate(bags), np.cumsum([0, *map(len, bags)])
@@ -125,9 +131,9 @@ def fit(texts: list[str], labels: list[int], weights: list[float] | None = None,
     for i in range(0, len(known), 20_000):
         grams, of = subwords(known[i : i + 20_000], BUCKETS)
         order = np.argsort(of, kind="stable")
-        parts.append((grams[order].astype(np.int32), (of[order] + i).astype(np.int32)))
-    grams, of = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int32),) * 2
-    n_grams = np.maximum(np.bincount(of, minlength=len(vocabulary)), 1)
+        parts.append((grams[order].astype(np.int32), np.bincount(of, minlength=len(known[i : i + 20_000]))))
+    grams, n_grams = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+    del known, parts
     first = np.cumsum(n_grams) - n_grams
     held = np.arange(len(y)) % 5 == 4
     if len(set(y[~held])) < 2 or not held.any():
@@ -141,7 +147,7 @@ def fit(texts: list[str], labels: list[int], weights: list[float] | None = None,
     for k, epochs in SCHEDULE:
         for _ in range(epochs):
             side = soft[:, 1] - soft[:, 0]
-            word = np.bincount(of, (table @ side)[grams], len(vocabulary)) / n_grams
+            word = np.add.reduceat((table @ side).astype(np.float32)[grams], first) / n_grams if len(first) else np.zeros(0)
             at, doc = _top(word[flat], ends, k)
             n = np.maximum(np.bincount(doc, minlength=len(y)), 1)
             logit = np.bincount(doc, word[flat[at]], len(y)) / n + bias
@@ -168,7 +174,6 @@ def fit(texts: list[str], labels: list[int], weights: list[float] | None = None,
     check = held if held.any() and len(set(y[held])) == 2 else use
     x = model.raw([t for t, c in zip(texts, check, strict=True) if c])
     model.scale, model.shift = platt(x, y[check], weight[check])
-    model.known.clear()
     return model
 
 
@@ -251,10 +256,10 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = held.value
         for batch in batches:
-            score = fitted.score(batch.column(0).to_pylist())
+            score = fitted.score(batch.column(0).to_pylist(), worker_cache(("toxicity", fitted.name), dict))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score)], names=[*batch.schema.names[1:], name])
 
-    out = source.mapInArrow(run, type(schema)(schema.fields).add(name, "double"))
+    out = source.mapInArrow(run, T.StructType([*schema.fields, T.StructField(name, T.DoubleType())]))
     return out if keep else out.withColumnRenamed("id", id_col)
 
 
