@@ -140,7 +140,8 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, text_col: str = "text",
     bits = min(63, max(1, size).bit_length() + 12)  # a word has a letter and a blank: far fewer false hits than words
     key = F.xxhash64(*[docs[c] for c, kind in docs.dtypes if not kind.startswith("map")])
     grouped = docs.withColumn(raw, text.cast("binary")).withColumn(chunk, F.pmod(key, F.lit(chunks)).cast("int")).drop(text_col)
-    grouped = grouped.repartition(min(chunks, max(2, spread // 2)), chunk)
+    # a task takes about as many chunks as the session's parallelism asks for, but eight at most
+    grouped = grouped.repartition(min(chunks, max(spread // 2, math.ceil(chunks / 8), 2)), chunk)
     number = lambda key: key[0].as_py()
 
     def probe(key, table):
