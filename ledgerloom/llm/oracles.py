@@ -77,6 +77,18 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGIN
 FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+OP6 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all({_FOLDED}, '{_OP10_WORDS}'), []) AS w FROM documents),
+s AS (
+    SELECT doc_id, md5(array_to_string(list_slice(w, i, i + 4), ' ')) AS g, count(*) AS c
+    FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i) WHERE len(w) > 0 GROUP BY ALL),
+n AS (SELECT doc_id, sum(c) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, sum(least(a.c, b.c)) AS m FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE m >= 0.8 * (a.n + b.n - m)),
+reach(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
+SELECT x AS doc_id, min(y) AS class_id, min(y) = x AS kept FROM reach GROUP BY x
+"""
+
 OP8 = """
 WITH v AS (
     SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
@@ -95,6 +107,7 @@ ORACLES: dict[str, str] = {
     "op3_decontamination": OP3,
     "op4_warc": OP4,
     "op5_preferences": OP5,
+    "op6_minhash_dedup": OP6,
     "op8_embedding_dedup": OP8,
     "op10_substring_dedup": OP10,
 }
