@@ -137,7 +137,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, text_col: str = "text",
     spread = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunks = max(1, math.ceil(size / chunk_bytes), min(spread, math.ceil(size / (1 << 20))))
     parts = chunks
-    bits = min(63, max(1, size).bit_length() + 12)  # a word has a letter and a blank: far fewer false hits than words
+    bits = min(63, max(1, size).bit_length() + 8)  # a block is some hundred bytes: a false hit in 30,000 windows or so
     key = F.xxhash64(*[docs[c] for c, kind in docs.dtypes if not kind.startswith("map")])
     grouped = docs.withColumn(raw, text.cast("binary")).withColumn(chunk, F.pmod(key, F.lit(chunks)).cast("int")).drop(text_col)
     # a task takes about as many chunks as the session's parallelism asks for, but eight at most
