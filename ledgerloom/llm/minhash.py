@@ -154,7 +154,7 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in slices(texts, 1 << 21):
+            for a, b in slices(texts, 1 << 20):
                 found = [words_of(t) for t in texts[a:b]]
                 h, weight, doc = shingles(found)
                 keys = band_keys(signatures(h, weight, doc, b - a)).view(np.int64)

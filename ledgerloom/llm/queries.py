@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, embeddings, langid, minhash, packing, substrings, tokens, toxicity, warc
-from .common import id_bucket, scratch_path, table
+from .common import give_back_memory, id_bucket, scratch_path, table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,8 +20,9 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    texts, marks, weights = toxicity.sample_labelled(docs, labels, id_bucket(labels["doc_id"], 4) != 2)
-    scored = toxicity.score_documents(docs, toxicity.fit(texts, marks, weights))
+    model = toxicity.fit(*toxicity.sample_labelled(docs, labels, id_bucket(labels["doc_id"], 4) != 2))
+    give_back_memory()
+    scored = toxicity.score_documents(docs, model)
     return scored.select("doc_id", (id_bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 

@@ -25,10 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, fresh, worker_cache
+from .common import bound_batches, fresh, slices, worker_cache
 
-MAX_ROWS = (2500, 1500)  # of label 0 and of label 1
-MAX_CHARS = 12_000_000
+MAX_ROWS = (1500, 1000)  # of label 0 and of label 1
+MAX_CHARS = 5_000_000
 BUCKETS = 1 << 18
 DIM = 12
 GRAMS = (3, 4)  # longer ones break with any misspelling
@@ -36,7 +36,7 @@ TOP_WORDS = 2
 #: (words in a document's bag, epochs)
 SCHEDULE = ((40, 20), (10, 20), (TOP_WORDS, 50))
 STEP, DECAY = 20.0, 1e-3
-CACHE_LIMIT = 600_000
+CACHE_LIMIT = 400_000
 _WORD = re.compile(r"\w+")
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
@@ -250,7 +250,8 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = held.value
         for batch in batches:
-            score = fitted.score(batch.column(0).to_pylist(), worker_cache(("toxicity", fitted.name), dict))
+            texts, known = batch.column(0).to_pylist(), worker_cache(("toxicity", fitted.name), dict)
+            score = np.concatenate([np.zeros(0), *(fitted.score(texts[a:b], known) for a, b in slices(texts, 1 << 20))])
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score)], names=[*batch.schema.names[1:], name])
 
     out = source.mapInArrow(run, T.StructType([*schema.fields, T.StructField(name, T.DoubleType())]))
