@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontaminate, minhash, packing, substrings, toxicity
-from ledgerloom.llm.common import id_bucket, scratch_path, table
+from ledgerloom.llm.common import give_back_memory, id_bucket, scratch_path, table
 
 TOXIC_FROM = 0.3
 
@@ -19,8 +19,9 @@ TOXIC_FROM = 0.3
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below ``TOXIC_FROM``."""
     labels = table(spark, sf_dir, "labels")
-    texts, marks, weights = toxicity.sample_labelled(docs, labels, id_bucket(labels["doc_id"], 4) != 2)
-    return toxicity.drop_toxic(docs, toxicity.fit(texts, marks, weights), TOXIC_FROM)
+    model = toxicity.fit(*toxicity.sample_labelled(docs, labels, id_bucket(labels["doc_id"], 4) != 2))
+    give_back_memory()
+    return toxicity.drop_toxic(docs, model, TOXIC_FROM)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
