@@ -11,38 +11,43 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer, pre_tokenizers
 
-from .common import bound_batches, slices
+from .common import bound_batches, slices, worker_cache
 
 #: Distinct pre-tokens a worker keeps before it starts its table anew.
-TABLE_LIMIT = 1_400_000
-_SLICE = 1 << 22  # characters whose words are learned together
+TABLE_LIMIT = 1_000_000
+_SLICE = 1 << 21  # characters whose words are learned together
 _GROUP = 256
 _BATCHED = 64
 #: A blank at the edge of a text or beside other white space: no certain cut there.
 _LOOSE = re.compile(r"^\s|\s$|\s\s")
+_WESTERN = [chr(c) for c in (*range(65, 91), *range(97, 123), *range(0xC0, 0x100)) if c not in (0xD7, 0xF7)]
+_WESTERN_WORD = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Tables by kind and file; they outlive a task where Spark reuses its Python workers.
-_tables: dict = {}
 
 
 def load_tokenizer(path: str):
     """A ``tokenizers`` file, without truncation or padding; special strings as by default."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
     return tokenizer
 
 
+def _bytes(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes() if array("I").itemsize == 4 and sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
+
+
 class _PieceTable:
     """A bounded table of what the tokenizer makes of each distinct piece."""
 
@@ -54,9 +59,7 @@ class _PieceTable:
     @classmethod
     def of(cls, path: str) -> _PieceTable:
         """The table of this worker."""
-        if (cls, path) not in _tables:
-            _tables[cls, path] = cls(path)
-        return _tables[cls, path]
+        return worker_cache((cls.__name__, path), lambda: cls(path))
 
     def encode_pieces(self, pieces: list[str]) -> list[np.ndarray]:
         """The ids of each piece.  Many go to the library as one text, with a special token as
@@ -75,18 +78,17 @@ class _PieceTable:
                 out += [ids[a:b] for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True)]
         return out
 
-    def make(self, pieces: list) -> list:
+    def make(self, pieces: list[str]) -> list:
         raise NotImplementedError
 
-    def learn(self, words: set) -> None:
+    def learn(self, words: set[str]) -> None:
         """Add what is missing; where that would be too much, the table starts anew."""
         missing = words.difference(self.known)
         if len(self.known) + len(missing) > self.limit:
             self.known.clear()
             missing = words
-        mark = self.mark.encode() if self.mark is not None and isinstance(next(iter(missing), ""), bytes) else self.mark
-        plain = [w for w in missing if mark is None or mark not in w]
-        odd = [w for w in missing if mark is not None and mark in w]
+        plain = [w for w in missing if "<" not in w]
+        odd = [w for w in missing if "<" in w]  # may hold special strings
         for part in (plain, odd):
             for i in range(0, len(part), _GROUP * _BATCHED):
                 few = part[i : i + _GROUP * _BATCHED]
@@ -118,24 +120,61 @@ class PieceCounter(_PieceTable):
         return out
 
 
-class PieceEncoder(_PieceTable):
+class _Ids(dict):
+    """Ids by piece, made when first asked for."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, piece: bytes) -> bytes:
+        self[piece] = ids = self.make(piece)
+        return ids
+
+
+class PieceEncoder:
     """Ids, as little-endian unsigned 32-bit bytes, of a BPE that drops white space.
 
     No pre-token of such a tokenizer crosses white space, so the ids of a text are the
     ids of its words put together.  Texts are UTF-8 and split at ASCII white space only;
-    any other white space stays within a piece and is left to the library.
+    any other white space stays within a piece and is left to the library.  A piece of
+    Western European letters is one pre-token and goes to the library's BPE model directly,
+    in small letters; a full stop or comma after a letter or digit is a pre-token of its own.
+    Both shortcuts are tried out at the start and left alone where they don't hold.
     """
 
-    def make(self, pieces: list[bytes]) -> list[bytes]:
-        return [x.tobytes() for x in self.encode_pieces([p.decode() for p in pieces])]
+    def __init__(self, path: str, limit: int = TABLE_LIMIT):
+        self.tokenizer, self.limit = load_tokenizer(path), limit
+        self.model, self.known = self.tokenizer.model, _Ids(self._make)
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {ord(c): level.pre_tokenize_str(c.lower())[0][0] for c in _WESTERN}
+        self.ends = {e: self._whole(e) for e in (b".", b",")}
+        self.plain = all(self._whole(w + e) == self._letters(w) + self.ends[e] for w in ("Abstract".encode(), "ÉTÉçÿß".encode()) for e in self.ends)
+
+    @classmethod
+    def of(cls, path: str) -> PieceEncoder:
+        """The encoder of this worker."""
+        return worker_cache((cls.__name__, path), lambda: cls(path))
+
+    def _whole(self, piece: bytes) -> bytes:
+        return _bytes(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids)
+
+    def _letters(self, piece: bytes) -> bytes:
+        return _bytes([t.id for t in self.model.tokenize(piece.decode().translate(self.letters))])
+
+    def _make(self, piece: bytes) -> bytes:
+        if not self.plain:
+            return self._whole(piece)
+        if piece[-1:] in self.ends and (piece[-2:-1].isalnum() or _WESTERN_WORD.fullmatch(piece[:-1])):
+            return self.known[piece[:-1]] + self.ends[piece[-1:]]
+        return self._letters(piece) if _WESTERN_WORD.fullmatch(piece) else self._whole(piece)
 
     def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
-        for a, b in slices(texts, _SLICE):
-            words = [t.split() if t else [] for t in texts[a:b]]
-            self.learn(set().union(*words))
-            known = self.known.__getitem__
-            for found in words:
-                yield b"".join(map(known, found))
+        ids = self.known.__getitem__
+        for text in texts:
+            if len(self.known) > self.limit:
+                self.known.clear()
+            yield b"".join(map(ids, text.split())) if text else b""
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
