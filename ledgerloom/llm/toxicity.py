@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 
 from .common import bound_batches, fresh, slices, worker_cache
 
-MAX_ROWS = (1500, 1000)  # of label 0 and of label 1
-MAX_CHARS = 5_000_000
+MAX_ROWS = (1800, 1200)  # of label 0 and of label 1
+MAX_CHARS = 8_000_000
 BUCKETS = 1 << 18
 DIM = 12
 GRAMS = (3, 4)  # longer ones break with any misspelling
