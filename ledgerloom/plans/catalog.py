@@ -16,7 +16,7 @@ from ..operators.reference_match import match_by_reference, reference_index
 from ..operators.subset_sum import solve_pools, stage2_confidence
 from ..sources.bank import mt103_messages, parse_mt103
 from . import views
-from .reconcile import keep, reconcile, tier1
+from .reconcile import deferred, keep, named_pairs, open_settlements, reconcile, tier1
 from .views import CLASSIFIED_SQL, CREDITS_SQL, ROWS_SQL, SETTLEMENTS_SQL, STAGE1_SQL, TOKENS_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -302,6 +302,18 @@ def _named(spark, sf_dir):
     return pairs.join(settled.select("settlement_id", "settlement_name"), "settlement_id")
 
 
+def _every_level(spark, sf_dir):
+    """The levels of all blocked pairs, whatever their credits say."""
+    return linkage.compare(named_pairs(*both(spark, sf_dir))).select("credit_id", "settlement_id", "amount_level", "date_level", "name_level")
+
+
+def _deferred_scores(spark, sf_dir):
+    """Scores of the pairs of what stages 1 and 2 left open."""
+    credit, settled = both(spark, sf_dir)
+    decisions = tier1(credit, settled)
+    return linkage.posterior(linkage.compare(named_pairs(keep(deferred(credit, decisions)), open_settlements(settled, decisions))), MODEL)
+
+
 @query("WITH " + _COMPARED_SQL + " SELECT credit_id, settlement_id, amount_level, date_level, name_level FROM compared")
 def q22_comparison_levels(spark, sf_dir):
     return linkage.compare(_named(spark, sf_dir)).select("credit_id", "settlement_id", "amount_level", "date_level", "name_level")
@@ -315,7 +327,7 @@ def q23_level_shares(spark, sf_dir):
 
 @query()
 def q24_trained_model(spark, sf_dir):
-    every = keep(linkage.compare(_named(spark, sf_dir)))
+    every = keep(_every_level(spark, sf_dir))
     sure = every.where(F.substring("credit_id", 2, 10) == F.substring("settlement_id", 2, 10))
     rows = [(c, level, round(m, 6), round(u, 6)) for c, levels in linkage.train(sure, every).items() for level, m, u in levels]
     return spark.createDataFrame(rows, "comparison string, level int, m double, u double")
@@ -340,7 +352,7 @@ def q25_posterior(spark, sf_dir):
 
 @query()
 def q26_greedy_claim(spark, sf_dir):
-    scored = linkage.posterior(linkage.compare(_named(spark, sf_dir)), MODEL)
+    scored = _deferred_scores(spark, sf_dir)
     return greedy_claim(scored.where(F.col("score") >= linkage.THRESHOLD), keep=keep).select("credit_id", "settlement_id", "score")
 
 
@@ -548,6 +560,22 @@ def q50_latent_vectors(spark, sf_dir):
     return vectors.select("doc_id", F.round(ranking.dot(F.col("vector"), F.col("vector")), 4).alias("square"))
 
 
+# q22, q23 and q25 have the credits that their SQL has; these have all that stage 3 gets.
+@query()
+def q51_all_comparison_levels(spark, sf_dir):
+    return _every_level(spark, sf_dir)
+
+
+@query()
+def q52_all_level_shares(spark, sf_dir):
+    return linkage.level_shares(_every_level(spark, sf_dir)).withColumn("share", F.round("share", 6))
+
+
+@query()
+def q53_deferred_posterior(spark, sf_dir):
+    return _deferred_scores(spark, sf_dir).select("credit_id", "settlement_id", "weight", "score")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q05_reference_match(spark, sf_dir)
 

@@ -25,7 +25,7 @@ def keep(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
-def _open(settlements: DataFrame, decisions: DataFrame) -> DataFrame:
+def open_settlements(settlements: DataFrame, decisions: DataFrame) -> DataFrame:
     used = decisions.where(F.col("resolution").isin(*ASSERTED)).select(F.explode("settlement_ids").alias("settlement_id"))
     return settlements.join(used, "settlement_id", "left_anti")
 
@@ -34,7 +34,7 @@ def tier1(credits: DataFrame, settlements: DataFrame, **limits) -> DataFrame:
     """Stages 1 and 2 for every credit (columns ``DECISION``)."""
     first = keep(match_by_reference(credits, settlements).withColumn("stage", F.lit("deterministic")).select(*DECISION))
     waiting = credits.join(first.select(F.col("bank_txn_id").alias("credit_id")), "credit_id", "left_anti")
-    found = match_subsets(waiting, keep(_open(settlements, first)), keep=keep, **limits)
+    found = match_subsets(waiting, keep(open_settlements(settlements, first)), keep=keep, **limits)
     trust = F.when(F.col("resolution") == "MATCHED", stage2_confidence(F.col("residual_minor"), F.col("margin_minor"), F.size("settlement_ids"), F.col("truncated"))).when(F.col("resolution") == "TIE_AMBIGUOUS", F.lit("0.20").cast("decimal(4,2)")).otherwise(F.lit("0.00").cast("decimal(4,2)"))
     reason = F.when(F.col("resolution") == "MATCHED", "one subset comes closest").when(F.col("resolution") == "TIE_AMBIGUOUS", "several subsets come as close").otherwise("no subset comes close")
     second = found.select(
@@ -52,12 +52,12 @@ def _overlay(decisions: DataFrame, later: DataFrame) -> DataFrame:
     return keep(decisions.join(later.select("bank_txn_id"), "bank_txn_id", "left_anti").unionByName(later))
 
 
-def _deferred(credits: DataFrame, decisions: DataFrame) -> DataFrame:
+def deferred(credits: DataFrame, decisions: DataFrame) -> DataFrame:
     left = decisions.where(~F.col("resolution").isin(*ASSERTED)).select(F.col("bank_txn_id").alias("credit_id"))
     return credits.join(left, "credit_id", "left_semi")
 
 
-def _named_pairs(credits: DataFrame, settlements: DataFrame) -> DataFrame:
+def named_pairs(credits: DataFrame, settlements: DataFrame) -> DataFrame:
     pairs = blocked_pairs(credits, settlements)
     return pairs.join(credits.select("credit_id", "credit_name", "narration"), "credit_id").join(settlements.select("settlement_id", "settlement_name"), "settlement_id")
 
@@ -71,14 +71,14 @@ def reconcile(credits: DataFrame, settlements: DataFrame, model: dict | None = N
     decisions = tier1(credits, settlements, **limits)
     if model is None:
         sure = decisions.where("stage = 'deterministic' and resolution = 'MATCHED' and size(settlement_ids) = 1").select(F.col("bank_txn_id").alias("credit_id"), F.element_at("settlement_ids", 1).alias("settlement_id"))
-        every = keep(linkage.compare(_named_pairs(credits, settlements)))
+        every = keep(linkage.compare(named_pairs(credits, settlements)))
         model = linkage.train(every.join(sure, ["credit_id", "settlement_id"], "left_semi"), every)
-    waiting = keep(_deferred(credits, decisions))
-    scored = linkage.posterior(linkage.compare(_named_pairs(waiting, _open(settlements, decisions))), model)
+    waiting = keep(deferred(credits, decisions))
+    scored = linkage.posterior(linkage.compare(named_pairs(waiting, open_settlements(settlements, decisions))), model)
     third = _later(linkage.link(scored, keep=keep), "probabilistic", "score", "linkage score above the threshold")
     decisions = _overlay(decisions, third)
-    waiting = keep(_deferred(credits, decisions))
-    pairs = keep(_named_pairs(waiting, _open(settlements, decisions)))
+    waiting = keep(deferred(credits, decisions))
+    pairs = keep(named_pairs(waiting, open_settlements(settlements, decisions)))
     text = waiting.select(F.concat(F.lit("c"), "credit_id").alias("doc_id"), F.concat_ws(" ", "credit_name", "narration").alias("text"))
     names = pairs.select(F.concat(F.lit("s"), "settlement_id").alias("doc_id"), F.col("settlement_name").alias("text")).distinct()
     weights = keep(ranking.tfidf(text.unionByName(names), char_ngrams(F.col("text"))))
