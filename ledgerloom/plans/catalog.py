@@ -556,7 +556,7 @@ def q49_reconcile(spark, sf_dir):
 @query()
 def q50_latent_vectors(spark, sf_dir):
     docs = views.table(spark, sf_dir, "benchmark").withColumn("doc_id", F.col("item_id"))
-    vectors = ranking.latent_vectors(keep(ranking.tfidf(docs, word_ngrams(F.col("text")))), dims=32)
+    vectors = ranking.latent_vectors(keep(ranking.tfidf(docs, word_ngrams(F.col("text")))), dims=32, docs=docs, keep=keep)
     return vectors.select("doc_id", F.round(ranking.dot(F.col("vector"), F.col("vector")), 4).alias("square"))
 
 

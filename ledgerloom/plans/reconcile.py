@@ -84,7 +84,7 @@ def reconcile(credits: DataFrame, settlements: DataFrame, model: dict | None = N
     weights = keep(ranking.tfidf(text.unionByName(names), char_ngrams(F.col("text"))))
     left, right = (weights.where(F.col("doc_id").startswith(p)).withColumn("doc_id", F.substring("doc_id", 2, 1000)) for p in "cs")
     lexical = ranking.sparse_cosine(pairs, left, right, "credit_id", "settlement_id")
-    vectors = keep(ranking.latent_vectors(weights))
+    vectors = keep(ranking.latent_vectors(weights, docs=text.unionByName(names), keep=keep))
     v = lambda p, i, n: vectors.where(F.col("doc_id").startswith(p)).select(F.substring("doc_id", 2, 1000).alias(i), F.col("vector").alias(n))
     scored = lexical.join(v("c", "credit_id", "va"), "credit_id", "left").join(v("s", "settlement_id", "vb"), "settlement_id", "left")
     scored = scored.withColumn("dense", F.round(F.coalesce(ranking.cosine(F.col("va"), F.col("vb")), F.lit(0.0)), 6))
