@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import char_ngrams, jaro_winkler
+from ..functions.text import char_ngrams, jaro_winkler, word_ngrams
 from ..operators import linkage, ranking
 from ..operators.evaluate import ASSERTED
 from ..operators.pool import blocked_pairs
@@ -62,6 +62,11 @@ def named_pairs(credits: DataFrame, settlements: DataFrame) -> DataFrame:
     return pairs.join(credits.select("credit_id", "credit_name", "narration"), "credit_id").join(settlements.select("settlement_id", "settlement_name"), "settlement_id")
 
 
+def latent(corpus: DataFrame) -> DataFrame:
+    """The second signal of stage 4: latent vectors of words and word pairs, apart from the character n-grams of the first."""
+    return ranking.latent_vectors(keep(ranking.tfidf(corpus, word_ngrams(F.col("text")))), docs=corpus, keep=keep)
+
+
 def reconcile(credits: DataFrame, settlements: DataFrame, model: dict | None = None, **limits) -> DataFrame:
     """All four stages: (``DECISION``) for every credit.
 
@@ -81,10 +86,11 @@ def reconcile(credits: DataFrame, settlements: DataFrame, model: dict | None = N
     pairs = keep(named_pairs(waiting, open_settlements(settlements, decisions)))
     text = waiting.select(F.concat(F.lit("c"), "credit_id").alias("doc_id"), F.concat_ws(" ", "credit_name", "narration").alias("text"))
     names = pairs.select(F.concat(F.lit("s"), "settlement_id").alias("doc_id"), F.col("settlement_name").alias("text")).distinct()
-    weights = keep(ranking.tfidf(text.unionByName(names), char_ngrams(F.col("text"))))
+    corpus = text.unionByName(names)
+    weights = keep(ranking.tfidf(corpus, char_ngrams(F.col("text"))))
     left, right = (weights.where(F.col("doc_id").startswith(p)).withColumn("doc_id", F.substring("doc_id", 2, 1000)) for p in "cs")
     lexical = ranking.sparse_cosine(pairs, left, right, "credit_id", "settlement_id")
-    vectors = keep(ranking.latent_vectors(weights, docs=text.unionByName(names), keep=keep))
+    vectors = keep(latent(corpus))
     v = lambda p, i, n: vectors.where(F.col("doc_id").startswith(p)).select(F.substring("doc_id", 2, 1000).alias(i), F.col("vector").alias(n))
     scored = lexical.join(v("c", "credit_id", "va"), "credit_id", "left").join(v("s", "settlement_id", "vb"), "settlement_id", "left")
     scored = scored.withColumn("dense", F.round(F.coalesce(ranking.cosine(F.col("va"), F.col("vb")), F.lit(0.0)), 6))
