@@ -32,7 +32,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
-    warc.write_captures(table(spark, sf_dir, "pages"), path)
+    warc.write_captures(table(spark, sf_dir, "pages"), path, each=True)
     captures = warc.assemble(warc.read_records(spark, path, keep_payload=False))
     page = F.get_json_object("metadata.fields", "$.page-id").cast("long")
     rows = captures.select("capture_id", page.alias("page_id"), "response", F.col("refers_to").alias("earlier"))

@@ -17,7 +17,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches
@@ -50,12 +50,13 @@ def _record(block: Column, *lines: Column) -> Column:
     return F.concat(F.lit(_MARK), *lines, _line("Content-Length", F.octet_length(block).cast("string")), F.lit(_CRLF), block)
 
 
-def write_captures(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", date: str = "2024-01-01T00:00:00Z", revisit_bytes: int = REVISIT_BYTES) -> None:
+def write_captures(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", date: str = "2024-01-01T00:00:00Z", revisit_bytes: int = REVISIT_BYTES, each: bool = False) -> None:
     """Write a transaction per row of ``pages`` into archives below ``path``.
 
     Of rows with equal payloads of ``revisit_bytes`` or more, that with the smallest id is
     the response and the others revisit it; a null id is no smallest id.  A null body is an
-    empty payload.  Rows equal in id, address and payload are one capture.
+    empty payload.  Rows equal in id, address and payload are one capture, or with ``each``
+    captures of their own.
     """
     body = F.coalesce(pages[body_col].cast("string"), F.lit(""))
     rows = pages.select(pages[id_col].alias("id"), pages[url_col].cast("string").alias("url"), body.alias("body"))
@@ -63,7 +64,11 @@ def write_captures(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     first = rows.where(F.col("size") >= revisit_bytes).groupBy("digest").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "url"))).alias("first"), F.count("*").alias("n"))
     first = first.where((F.col("n") > 1) & F.col("first").isNotNull()).select("digest", "first")
     rows = rows.join(first, "digest", "left").withColumn("again", F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first.id")))
-    key = (F.col("id"), F.col("url"), F.col("digest"))
+    if each:
+        same = Window.partitionBy("id", "url", "digest").orderBy(F.lit(1))
+        rows = rows.withColumn("nth", F.row_number().over(same))
+    nth = (F.col("nth"),) if each else ()
+    key = (F.col("id"), F.col("url"), F.col("digest"), *nth)
     capture = _urn(F.lit("response"), *key)
     common = (_line("WARC-Date", F.lit(date)), _line("WARC-Target-URI", F.col("url")))
     head = F.concat(F.lit(f"HTTP/1.1 200 OK{_CRLF}Content-Type: text/html; charset=utf-8{_CRLF}Content-Length: "), F.col("size").cast("string"), F.lit(_CRLF * 2))
@@ -71,7 +76,7 @@ def write_captures(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         F.when(F.col("again"), head).otherwise(F.concat(head, F.col("body"))),
         _line("WARC-Type", F.when(F.col("again"), "revisit").otherwise("response")), _line("WARC-Record-ID", capture), *common,
         _line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
-        F.when(F.col("again"), F.concat(_line("WARC-Profile", F.lit(_PROFILE)), _line("WARC-Refers-To", _urn(F.lit("response"), F.col("first.id"), F.col("first.url"), F.col("digest"))))).otherwise(""),
+        F.when(F.col("again"), F.concat(_line("WARC-Profile", F.lit(_PROFILE)), _line("WARC-Refers-To", _urn(F.lit("response"), F.col("first.id"), F.col("first.url"), F.col("digest"), *(F.lit(1) for _ in nth))))).otherwise(""),
         _line("Content-Type", F.lit("application/http; msgtype=response")),
     )
     host, target = F.regexp_extract("url", r"^[a-zA-Z]+://([^/?#\s]*)", 1), F.regexp_extract("url", r"^[a-zA-Z]+://[^/?#\s]*([^#\s]*)", 1)
