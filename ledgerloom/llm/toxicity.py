@@ -1,12 +1,15 @@
-"""Toxicity from subword bags under a linear softmax.
+"""Toxicity from averaged subword bags under a linear softmax.
 
-A word is the bag of its character n-grams, its edges marked, hashed into buckets; bucket
-embeddings are averaged and a linear softmax scores the average.  Embeddings and softmax
-are trained jointly in numpy.  A misspelling shares most n-grams, and so most of its
-vector, with words seen in training.  As insults are few among the words of a document,
-a document's bag is the average over its ``TOP_WORDS`` highest-scoring distinct words;
-training narrows down to them from wider bags.  Platt scaling on training rows that are
-kept from the fit makes the score a probability at the base rate of the labels.
+A word is the bag of its character n-grams, its edges marked, hashed into buckets.  A
+document's vector is the average of the subword embeddings over all of its distinct words,
+and a linear softmax scores it.  Embeddings and softmax are trained jointly in numpy.  A
+misspelling shares most n-grams, and so most of its vector, with words seen in training.
+
+An insult is one of hundreds of words, and an even average drowns it.  So the average is a
+weighted one: a word weighs ``exp(focus * s)``, with ``s`` its own score under the same
+softmax, so the weights need no parameters of their own.  ``focus`` grows from 0, the even
+average, to ``FOCUS`` while training.  Platt scaling on scores of rows that were kept from
+the fit, in ``FOLDS`` turns, makes the score a probability at the base rate of the labels.
 
 The model is a classifier fitted on a bounded sample of labelled rows (``MAX_ROWS`` a
 class, the smallest hashes first, ``MAX_CHARS`` in all).  Scoring covers whole texts.
@@ -32,10 +35,10 @@ MAX_CHARS = 8_000_000
 BUCKETS = 1 << 18
 DIM = 12
 GRAMS = (3, 4)  # longer ones break with any misspelling
-TOP_WORDS = 2
-#: (words in a document's bag, epochs)
-SCHEDULE = ((40, 20), (10, 20), (TOP_WORDS, 50))
-STEP, DECAY = 20.0, 1e-3
+FOCUS = 16.0
+EPOCHS, RISE = 90, 36  # the focus is whole from epoch RISE on
+STEP, DECAY = 20.0, 3e-3
+FOLDS = 3
 CACHE_LIMIT = 400_000
 _WORD = re.compile(r"\w+")
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -66,6 +69,19 @@ def subwords(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return (h >> np.uint64(64 - int(np.log2(buckets)))).astype(np.int64), np.concatenate(of) if of else np.zeros(0, np.int64)
 
 
+def _averages(scores: np.ndarray, sizes: np.ndarray, focus: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted mean score of each run of ``scores``, 0 for an empty run, and the weight of each member."""
+    mean, weight = np.zeros(len(sizes)), np.zeros(len(scores))
+    full = np.flatnonzero(sizes)
+    if len(full):
+        many = sizes[full]
+        start = np.cumsum(many) - many
+        weight = np.exp(focus * (scores - np.repeat(np.maximum.reduceat(scores, start), many)))
+        weight /= np.repeat(np.add.reduceat(weight, start), many)
+        mean[full] = np.add.reduceat(weight * scores, start)
+    return mean, weight
+
+
 @dataclass
 class Model:
     embeddings: np.ndarray
@@ -82,7 +98,7 @@ class Model:
         return np.bincount(of, self.weight[grams], len(words)) / np.maximum(np.bincount(of, minlength=len(words)), 1)
 
     def raw(self, texts: list[str | None], known: dict[str, float] | None = None) -> np.ndarray:
-        """The mean of the highest word scores of each text; 0 without words.  ``known``: scores of words so far."""
+        """The weighted mean of the word scores of each text; 0 without words.  ``known``: scores of words so far."""
         known = {} if known is None else known
         bags = [words_of(t) for t in texts]
         missing = list(set().union(*bags).difference(known)) if bags else []
@@ -92,83 +108,94 @@ class Model:
         for i in range(0, len(missing), 50_000):
             part = missing[i : i + 50_000]
             known.update(zip(part, self.word_scores(part).tolist(), strict=True))
-        out = np.zeros(len(texts))
-        for i, bag in enumerate(bags):
-            if bag:
-                s = np.fromiter(map(known.__getitem__, bag), dtype=float, count=len(bag))
-                out[i] = np.sort(s if len(s) <= TOP_WORDS else np.partition(s, -TOP_WORDS)[-TOP_WORDS:]).mean()
-        return out
+        sizes = np.array([len(b) for b in bags], dtype=np.int64)
+        flat = np.fromiter((known[w] for bag in bags for w in bag), dtype=float, count=int(sizes.sum()))
+        return _averages(flat, sizes, FOCUS)[0]
 
     def score(self, texts: list[str | None], known: dict[str, float] | None = None) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.raw(texts, known) + self.shift, -40, 40)))
 
 
-def _top(scores: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the k highest scores of each segment, and the segment of each."""
-    picked = [a + np.argpartition(scores[a:b], -k)[-k:] if b - a > k else np.arange(a, b) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    return np.concatenate(picked), np.repeat(np.arange(len(picked)), [len(p) for p in picked])
+@dataclass
+class _Words:
+    """The distinct words of a sample: which of them each text has, and their subwords."""
+
+    flat: np.ndarray
+    sizes: np.ndarray
+    grams: np.ndarray
+    many: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str | None]) -> _Words:
+        vocabulary: dict[str, int] = {}
+        bags = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in sorted(words_of(t))], dtype=np.int32) for t in texts]
+        known, grams, many = list(vocabulary), [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for i in range(0, len(known), 20_000):
+            part = known[i : i + 20_000]
+            found, of = subwords(part, BUCKETS)
+            grams.append(found[np.argsort(of, kind="stable")].astype(np.int32))
+            many.append(np.bincount(of, minlength=len(part)))
+        return cls(np.concatenate(bags), np.array([len(b) for b in bags], dtype=np.int64), np.concatenate(grams), np.concatenate(many))
+
+    def scores(self, weight: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(weight[self.grams], np.cumsum(self.many) - self.many) / self.many if len(self.many) else np.zeros(0)
+
+    def members(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words of some of the texts, in rising order of ``rows``, and how many each has."""
+        use = np.zeros(len(self.sizes), dtype=bool)
+        use[rows] = True
+        return self.flat[np.repeat(use, self.sizes)], self.sizes[rows]
+
+
+def _train(words: _Words, rows: np.ndarray, y: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Embeddings and softmax from the chosen rows, both classes weighing the same."""
+    flat, sizes = words.members(rows)
+    doc, n, y = np.repeat(np.arange(len(sizes)), sizes), len(words.many), y[rows]
+    balance = np.where(y > 0, 1 / max(1, y.sum()), 1 / max(1, (1 - y).sum()))
+    rng = np.random.default_rng(seed)
+    table, soft = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 1.0, (DIM, 2))
+    bias, past, past_soft, past_bias = 0.0, 1e-6, 1e-3, 1e-3
+    for epoch in range(EPOCHS if n else 0):
+        side = soft[:, 1] - soft[:, 0]
+        focus = FOCUS * min(1.0, epoch / RISE)
+        score = words.scores(table @ side)[flat]
+        mean, weight = _averages(score, sizes, focus)
+        error = (1 / (1 + np.exp(-np.clip(mean + bias, -40, 40))) - y) * balance
+        on_word = np.bincount(flat, weight * (1 + focus * (score - mean[doc])) * error[doc], n) / words.many
+        on_gram = np.bincount(words.grams, np.repeat(on_word, words.many), BUCKETS)
+        live = np.flatnonzero(on_gram)
+        step = on_gram[live] * 1e3
+        past += (step**2).sum()
+        on_side = step @ table[live]
+        table[live] -= (STEP * step / np.sqrt(past))[:, None] * side[None, :] / max(1.0, np.linalg.norm(side))
+        table *= 1 - DECAY
+        past_soft += (on_side**2).sum()
+        move = 0.3 * on_side / np.sqrt(past_soft)
+        soft[:, 1] -= move / 2
+        soft[:, 0] += move / 2
+        past_bias += (b := error.sum() * 10) ** 2
+        bias -= 0.3 * b / np.sqrt(past_bias)
+    return table, soft
 
 
 def fit(texts: list[str], labels: list[int], weights: list[float] | None = None, seed: int = 7) -> Model:
     """Fit on texts with labels 0 and 1; ``weights`` restore the base rate of a sample.
 
-    Without any text the score is 0.007 for all.
+    Without any text the score is 0.007 for all; with one class only, its smoothed share.
     """
     y = np.array(labels, dtype=float)
     weight = np.ones(len(y)) if weights is None else np.array(weights, dtype=float)
     if not len(y):
         return Model(np.zeros((BUCKETS, 1), np.float32), np.zeros((1, 2)), 1.0, -5.0)
-    vocabulary: dict[str, int] = {}
-    bags = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in sorted(words_of(t))], dtype=np.int32) for t in texts]
-    flat, ends = np.concatenate(bags), np.cumsum([0, *map(len, bags)])
-    known, parts = list(vocabulary), []
-    for i in range(0, len(known), 20_000):
-        grams, of = subwords(known[i : i + 20_000], BUCKETS)
-        order = np.argsort(of, kind="stable")
-        parts.append((grams[order].astype(np.int32), np.bincount(of, minlength=len(known[i : i + 20_000]))))
-    grams, n_grams = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-    del known, parts
-    first = np.cumsum(n_grams) - n_grams
-    held = np.arange(len(y)) % 5 == 4
-    if len(set(y[~held])) < 2 or not held.any():
-        held[:] = False
-    rng = np.random.default_rng(seed)
-    table = rng.normal(0, 0.1, (BUCKETS, DIM))
-    soft = rng.normal(0, 1.0, (DIM, 2))
-    bias, past, past_soft, past_bias = 0.0, 1e-6, 1e-3, 1e-3
-    use = ~held
-    balance = np.where(y > 0, 1 / max(1, y[use].sum()), 1 / max(1, (1 - y[use]).sum())) * use
-    for k, epochs in SCHEDULE:
-        for _ in range(epochs):
-            side = soft[:, 1] - soft[:, 0]
-            word = np.add.reduceat((table @ side).astype(np.float32)[grams], first) / n_grams if len(first) else np.zeros(0)
-            at, doc = _top(word[flat], ends, k)
-            n = np.maximum(np.bincount(doc, minlength=len(y)), 1)
-            logit = np.bincount(doc, word[flat[at]], len(y)) / n + bias
-            error = (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - y) * balance
-            on_word = np.bincount(flat[at], (error / n)[doc], len(vocabulary)) / n_grams
-            touched = np.flatnonzero(on_word)
-            many = n_grams[touched]
-            rows = np.repeat(first[touched] - np.cumsum(many) + many, many) + np.arange(many.sum())
-            on_gram = np.bincount(grams[rows], np.repeat(on_word[touched], many), BUCKETS)
-            live = np.flatnonzero(on_gram)
-            g = on_gram[live] * 1e3
-            past += (g**2).sum()
-            step = table[live]
-            on_side = on_gram[live] @ step * 1e3
-            table[live] -= (STEP * g / np.sqrt(past))[:, None] * side[None, :] / max(1.0, np.linalg.norm(side))
-            table *= 1 - DECAY
-            past_soft += (on_side**2).sum()
-            move = 0.3 * on_side / np.sqrt(past_soft)
-            soft[:, 1] -= move / 2
-            soft[:, 0] += move / 2
-            past_bias += (b := error.sum() * 10) ** 2
-            bias -= 0.3 * b / np.sqrt(past_bias)
-    model = Model(table.astype(np.float32), soft, 1.0, bias)
-    check = held if held.any() and len(set(y[held])) == 2 else use
-    x = model.raw([t for t, c in zip(texts, check, strict=True) if c])
-    model.scale, model.shift = platt(x, y[check], weight[check])
-    return model
+    words, rows = _Words.of(texts), np.arange(len(y))
+    unseen, place = np.zeros(len(y)), np.where(y > 0, np.cumsum(y > 0), np.cumsum(y <= 0)).astype(int)  # each class is dealt in turn
+    for turn in range(FOLDS):
+        hidden = rows[place % FOLDS == turn]
+        table, soft = _train(words, rows[place % FOLDS != turn], y, seed)
+        flat, sizes = words.members(hidden)
+        unseen[hidden] = _averages(words.scores(table @ (soft[:, 1] - soft[:, 0]))[flat], sizes, FOCUS)[0]
+    table, soft = _train(words, rows, y, seed)
+    return Model(table.astype(np.float32), soft, *platt(unseen, y, weight))
 
 
 def platt(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -201,7 +228,8 @@ def platt(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, floa
 def sample_labelled(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: tuple[int, int] = MAX_ROWS, max_chars: int = MAX_CHARS) -> tuple[list[str], list[int], list[float]]:
     """Texts, labels and weights of a bounded sample of the labelled rows.
 
-    Rows with a null id, label or text teach nothing; an id with both labels counts as 1.
+    Rows with a null id, label or text teach nothing; an id with both labels counts as 1,
+    one with several texts as its shortest.
     """
     h = F.pmod(F.xxhash64(labels[id_col].cast("string")), F.lit(1 << 40))
     known = labels.where(usable & labels[id_col].isNotNull() & labels[label_col].isin(0, 1)).select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("label"), h.alias("h"))
@@ -215,7 +243,8 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, usable: Column, id_col:
     if not chosen:
         return [], [], []
     text = docs[text_col].cast("string")
-    rows = docs.where(docs[id_col].isin(chosen) & text.isNotNull()).select(docs[id_col].alias("id"), F.length(text).alias("n")).collect()
+    own = docs.where(docs[id_col].isin(chosen) & text.isNotNull()).select(docs[id_col].alias("id"), F.length(text).alias("n"), text.alias("text"))
+    rows = own.groupBy("id").agg(F.min("n").alias("n")).collect()
     size, kept, total = {r["id"]: r["n"] for r in rows}, [], 0
     for k in sorted(size, key=lambda k: picked[k][1]):
         if total + size[k] <= max_chars or not kept:
@@ -223,7 +252,9 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, usable: Column, id_col:
             total += size[k]
     if not kept:
         return [], [], []
-    found = {r["id"]: r["text"] for r in docs.where(docs[id_col].isin(kept) & text.isNotNull()).select(docs[id_col].alias("id"), text.alias("text")).collect()}
+    # of the texts of a repeated id the shortest, then the smallest; merged before they come here
+    one = own.where(F.col("id").isin(kept)).groupBy("id").agg(F.min(F.struct("n", "text")).alias("t"))
+    found = {r["id"]: r["text"] for r in one.select("id", "t.text").collect()}
     keys = sorted(found, key=lambda k: picked[k][1])
     y = [picked[k][0] for k in keys]
     weights = [counts.get(c, 0) / max(1, y.count(c)) for c in y]
@@ -259,6 +290,10 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, with their columns."""
+    """The rows of ``docs`` that score below ``threshold``, with their columns.
+
+    Null and empty texts have the score of a text without any word; repeated rows stay or
+    go together; an empty table stays empty.
+    """
     scored = score_documents(docs, model, id_col, text_col, keep=True)
     return scored.where(F.col(scored.columns[-1]) < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
