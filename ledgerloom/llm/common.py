@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Most bytes of one Arrow batch handed to a Python worker; one longer row travels alone.
 BATCH_BYTES = 4 << 20
+#: Most keys that a join treats as hot.
+HOT_KEYS = 1000
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -51,14 +53,16 @@ def worker_cache(key, make):
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (a single machine, as in tests) a temporary
-    folder is set.
+    Only on a single machine, as in tests, a temporary folder is set where the session
+    names none; a cluster without a shared folder is refused.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         context = spark.sparkContext
         named = context.getCheckpointDir()
         if not named:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerloom-"))
             named = context.getCheckpointDir()
     return named.rstrip("/")
@@ -75,6 +79,21 @@ def durable(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def split_join(rows: DataFrame, unique: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``unique``, which has one row a key and in ``weight`` the number of its rows.
+
+    Keys of more than one in ``HOT_KEYS`` of ``total`` rows are broadcast: there can be no
+    more than ``HOT_KEYS`` of them, whatever the size.  The rest is shuffled, and no key of
+    it fills a task.  ``total`` is the number of ``rows`` or more; keys are not null.
+    """
+    mark = fresh("hot", [*rows.columns, *unique.columns])
+    hot = unique.where(F.col(weight) * HOT_KEYS > total).withColumn(mark, F.lit(True))
+    met = rows.join(F.broadcast(hot), keys, "left")
+    own = [c for c in unique.columns if c not in keys]
+    cold = met.where(F.col(mark).isNull()).drop(mark, *own).join(unique.where(F.col(weight) * HOT_KEYS <= total), keys)
+    return met.where(F.col(mark)).drop(mark).unionByName(cold)
+
+
 def id_bucket(key: Column, modulus: int) -> Column:
     """``crc32(key as text) mod modulus``; a null key counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

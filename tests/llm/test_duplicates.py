@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,8 +228,9 @@ def vectors(seed=3):
 def test_vectors_against_brute_force(spark, block):
     rows = vectors()
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("node", F.lit(1)).withColumn("id", F.lit(2))
-    got = embeddings.near_duplicates(frame, recall=0.9999, block=block).collect()
-    units = [(k, embeddings.unit([None if x is None else float(x) for x in v] if v is not None else None)) for k, v in rows]
+    got = embeddings.near_duplicates(frame, block=block).collect()
+    scaled = embeddings.units(pa.array([v for _, v in rows], pa.list_(pa.float64())))
+    units = [(k, None if u is None else np.frombuffer(u)) for (k, _), u in zip(rows, scaled, strict=True)]
     link = lambda a, b: a is not None and b is not None and len(a) == len(b) and float(a @ b) >= 0.95
     want = sorted((k, sum(link(u, x) for j, (_, x) in enumerate(units) if j != i)) for i, (k, u) in enumerate(units))
     found, true = sum(r["n_links"] for r in got), sum(n for _, n in want)
