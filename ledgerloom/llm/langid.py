@@ -1,13 +1,16 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-One model per language; all share sorted arrays of n-gram hashes with a row of
-log-probabilities, one column per language.  A text gets the language of the lowest
-cross-entropy per character.  Two things are calibrated on training rows that the counts
+One model per language; up to ``LANGS_PER_BLOCK`` of them share sorted arrays of n-gram
+hashes with a row of log-probabilities, one column per language, so tables grow with the
+number of languages and not with its square.  Every language that the sample has is
+learned.  A text gets the language of the lowest cross-entropy per character.  Two things are calibrated on training rows that the counts
 leave out: the temperature that turns cross-entropies into a score, and, per language,
-the cross-entropy above which a text is rejected.
+the cross-entropy above which a text is rejected, the ``REJECT_QUANTILE`` of those rows.
 
 The models are a classifier fitted on a bounded sample: at most ``MAX_ROWS`` rows and
-``MAX_CHARS`` characters a language, the rows with the smallest hashes of their ids.
+``MAX_CHARS`` characters a language, the rows with the smallest hashes of their ids; rows
+longer than ``MAX_CHARS`` teach nothing.  A hash has room for 32,765 different letters, the
+most frequent ones of the sample; any rarer one is counted as one more letter.
 Prediction covers every character of every text.
 """
 
@@ -25,11 +28,11 @@ from .common import bound_batches, slices
 
 ORDER = 4
 MAX_ROWS = 400  # sample rows a language
-MAX_LANGS = 256  # the most frequent ones are learned
+LANGS_PER_BLOCK = 8
 MAX_CHARS = 1_500_000  # sample characters a language
 CALIBRATION_SHARE = 5  # every fifth sample row is kept from the counts
 REJECT_QUANTILE = 0.995
-_BITS = 12
+_BITS = 15
 _WORK = 1 << 20
 _letters: np.ndarray | None = None
 
@@ -87,8 +90,8 @@ def _grams(codes: np.ndarray, sizes: np.ndarray, order: int) -> np.ndarray:
 
 
 @dataclass
-class Model:
-    """Sorted hash arrays by order: n-grams with log-probabilities, contexts with log back-off weights."""
+class Block:
+    """Some languages: sorted hash arrays by order: n-grams with log-probabilities, contexts with log back-off weights."""
 
     langs: list[str]
     alphabet: np.ndarray
@@ -96,8 +99,6 @@ class Model:
     logp: list[np.ndarray]
     contexts: list[np.ndarray]
     backoff: list[np.ndarray]
-    temperature: float
-    reject_above: np.ndarray
 
     def _look_up(self, grams: np.ndarray, order: int) -> np.ndarray:
         keys = self.keys[order - 1]
@@ -116,6 +117,22 @@ class Model:
                 out[miss] = lower
         return out
 
+    def add(self, codes: np.ndarray, size: np.ndarray, out: np.ndarray) -> None:
+        """Add the log-probabilities of the texts' symbols to ``out``, a row per text and a column per language."""
+        some, starts = size > 0, (np.cumsum(size) - size)[size > 0]
+        rows = self._look_up(_grams(codes, size, len(self.keys)), len(self.keys))
+        for k in range(len(self.langs)):
+            out[some, k] += np.add.reduceat(rows[:, k], starts, dtype=np.float64)
+
+
+@dataclass
+class Model:
+    langs: list[str]
+    alphabet: np.ndarray
+    blocks: list[Block]
+    temperature: float
+    reject_above: np.ndarray
+
     def cross_entropy(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Nats per symbol, a row per text and a column per language; symbols of each text."""
         total, sizes = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), dtype=np.int64)
@@ -123,11 +140,8 @@ class Model:
             codes, size = encode(texts[a:b], self.alphabet)
             sizes[a:b] = size
             if len(codes):
-                grams = _grams(codes, size, len(self.keys))
-                some, starts = size > 0, (np.cumsum(size) - size)[size > 0]
-                rows = self._look_up(grams, len(self.keys))
-                for k in range(len(self.langs)):
-                    total[a:b][some, k] = np.add.reduceat(rows[:, k], starts, dtype=np.float64)
+                for i, block in enumerate(self.blocks):
+                    block.add(codes, size, total[a:b, i * LANGS_PER_BLOCK : (i + 1) * LANGS_PER_BLOCK])
         return -total / np.maximum(sizes, 1)[:, None], sizes
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -148,27 +162,16 @@ def _merge(keys: list[np.ndarray]) -> np.ndarray:
     return np.unique(np.concatenate(keys)) if keys else np.zeros(0, dtype=np.int64)
 
 
-def fit(samples: dict[str, list[str]], order: int = ORDER) -> Model:
-    """Fit the models on texts by language; without any, every text is ``und`` and rejected."""
-    langs = sorted(samples)
-    if not langs:
-        return Model([], np.zeros(0, np.int64), [], [], [], [], 1.0, np.zeros(0))
-    points = np.concatenate([_points(samples[x])[0] for x in langs])
-    letters, often = np.unique(points[letter_table()[points]], return_counts=True)
-    alphabet = np.sort(letters[np.argsort(-often, kind="stable")][: (1 << _BITS) - 2]).astype(np.int64)
-    train, rest = {}, {}
-    for x in langs:
-        held = [t for i, t in enumerate(samples[x]) if i % CALIBRATION_SHARE == CALIBRATION_SHARE - 1]
-        train[x] = [t for i, t in enumerate(samples[x]) if i % CALIBRATION_SHARE != CALIBRATION_SHARE - 1]
-        rest[x] = held or train[x]
+def _block(train: dict[str, list[str]], alphabet: np.ndarray, order: int) -> Block:
+    """The models of some languages, from their training texts."""
+    langs = sorted(train)
     counts: list[dict[str, tuple[np.ndarray, np.ndarray]]] = [{} for _ in range(order)]
     for x in langs:
         codes, sizes = encode(train[x], alphabet)
-        top = np.unique(_grams(codes, sizes, order), return_counts=True)
-        counts[order - 1][x] = top
+        counts[order - 1][x] = np.unique(_grams(codes, sizes, order), return_counts=True)
         for k in range(order - 1, 0, -1):  # lower orders count the different symbols before
             counts[k - 1][x] = np.unique(counts[k][x][0] & ((1 << (_BITS * k)) - 1), return_counts=True)
-    model = Model(langs, alphabet, [], [], [np.zeros(0, np.int64)], [np.zeros((0, len(langs)), np.float32)], 1.0, np.full(len(langs), np.inf))
+    model = Block(langs, alphabet, [], [], [np.zeros(0, np.int64)], [np.zeros((0, len(langs)), np.float32)])
     uniform = 1.0 / (len(alphabet) + 2)
     for k in range(1, order + 1):
         keys = _merge([counts[k - 1][x][0] for x in langs])
@@ -195,12 +198,33 @@ def fit(samples: dict[str, list[str]], order: int = ORDER) -> Model:
         p = np.maximum(seen - discount, 0) / np.maximum(total[of], 1) + gamma[of] * lower
         model.keys.append(keys)
         model.logp.append(np.log(p).astype(np.float32))
+    return model
+
+
+def fit(samples: dict[str, list[str]], order: int = ORDER) -> Model:
+    """Fit the models on texts by language; without any, every text is ``und`` and rejected."""
+    langs = sorted(samples)
+    if not langs:
+        return Model([], np.zeros(0, np.int64), [], 1.0, np.zeros(0))
+    often = np.zeros(0x110000, dtype=np.int64)
+    for x in langs:
+        often += np.bincount(_points(samples[x])[0], minlength=0x110000)
+    often[~letter_table()] = 0
+    letters = np.flatnonzero(often)
+    alphabet = np.sort(letters[np.argsort(-often[letters], kind="stable")][: (1 << _BITS) - 3])
+    train, rest = {}, {}
+    for x in langs:
+        held = [t for i, t in enumerate(samples[x]) if i % CALIBRATION_SHARE == CALIBRATION_SHARE - 1]
+        train[x] = [t for i, t in enumerate(samples[x]) if i % CALIBRATION_SHARE != CALIBRATION_SHARE - 1]
+        rest[x] = held or train[x]
+    blocks = [_block({x: train[x] for x in langs[i : i + LANGS_PER_BLOCK]}, alphabet, order) for i in range(0, len(langs), LANGS_PER_BLOCK)]
+    model = Model(langs, alphabet, blocks, 1.0, np.full(len(langs), np.inf))
     bits, truth = [], []
     for j, x in enumerate(langs):
         found, sizes = model.cross_entropy(rest[x])
         found = found[sizes > 0]
         if len(found):
-            model.reject_above[j] = np.quantile(found[:, j], REJECT_QUANTILE) * 1.1
+            model.reject_above[j] = np.quantile(found[:, j], REJECT_QUANTILE)
             bits.append(found)
             truth += [j] * len(found)
     if bits:
@@ -211,30 +235,37 @@ def fit(samples: dict[str, list[str]], order: int = ORDER) -> Model:
     return model
 
 
-def sample_texts(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, max_langs: int = MAX_LANGS) -> dict[str, list[str]]:
+def sample_texts(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> dict[str, list[str]]:
     """Texts by language from a bounded sample of the usable rows.
 
-    The share of a language's rows that may come is set from its count, so only about
-    ``max_rows`` rows a language reach the driver, without a shuffle of the table.
+    Rows are taken by the hash of their id until a language has ``max_rows`` rows or
+    ``max_chars`` characters.  The share of a language's rows that may come is set from its
+    count and lengths are looked at first, so no more text than that reaches the driver,
+    and the table is not shuffled.  Rows with a null text or language teach nothing.
     """
     text, lang = docs[text_col].cast("string"), docs[lang_col].cast("string")
-    known = docs.where(usable & lang.isNotNull() & text.isNotNull())
-    counts = known.groupBy(lang.alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    h = F.pmod(F.xxhash64(F.coalesce(docs[id_col].cast("string"), F.lit("")), text), F.lit(1 << 40))
+    known = docs.where(usable & lang.isNotNull() & text.isNotNull()).select(h.alias("h"), lang.alias("lang"), F.length(text).alias("n"), text.alias("text"))
+    known = known.where(F.col("n").between(1, max_chars))
+    counts = known.groupBy("lang").count().collect()  # a row per language
     if not counts:
         return {}
-    h = F.pmod(F.xxhash64(F.coalesce(docs[id_col].cast("string"), F.lit(""))), F.lit(1 << 40))
-    share = F.lit(0)
-    for r in counts:
-        share = F.when(lang == r["lang"], int((1 << 40) * min(1.0, 1.3 * max_rows / r["count"])) + 1).otherwise(share)
-    rows = known.where(h < share).select(h.alias("h"), lang.alias("lang"), text.alias("text")).collect()
+    below = lambda cut: F.element_at(F.create_map(*[F.lit(x) for item in cut.items() for x in item]), F.col("lang"))
+    share = {r["lang"]: int((1 << 40) * min(1.0, 1.3 * max_rows / r["count"])) + 1 for r in counts}
+    rows, cut, used = known.where(F.col("h") < below(share)).select("h", "lang", "n").collect(), {}, {}
+    for r in sorted(rows, key=lambda r: r["h"]):
+        n, chars = used.get(r["lang"], (0, 0))
+        if n < max_rows and chars + r["n"] <= max_chars:
+            used[r["lang"]], cut[r["lang"]] = (n + 1, chars + r["n"]), r["h"] + 1
+        else:
+            used[r["lang"]] = (max_rows, max_chars)
+    if not cut:
+        return {}
     out: dict[str, list[str]] = {}
-    used: dict[str, int] = {}
-    for r in sorted(rows, key=lambda r: (r["h"], r["text"])):
-        texts = out.setdefault(r["lang"], [])
-        if len(texts) < max_rows and used.get(r["lang"], 0) < max_chars and any(map(str.isalpha, r["text"])):
-            texts.append(r["text"])
-            used[r["lang"]] = used.get(r["lang"], 0) + len(r["text"])
-    return {k: v for k, v in out.items() if v}
+    for r in sorted(known.where(F.col("h") < below(cut)).select("h", "lang", "text").distinct().collect(), key=lambda r: (r["h"], r["text"])):
+        if any(map(str.isalpha, r["text"])):
+            out.setdefault(r["lang"], []).append(r["text"])
+    return out
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
