@@ -60,14 +60,15 @@ class TestSet:
 
     __test__ = False
 
-    def __init__(self, items: list[tuple[str | None, bytes | None]], window: int):
+    def __init__(self, items: list[tuple[list[str], bytes | None]], window: int):
+        """``items``: the names that share a text, and the text."""
         self.window, self.vocabulary = window, {}
         rows, self.names = [], []
-        for name, text in sorted(items, key=lambda x: (x[0] is None, x[0] or "", x[1] or b"")):
+        for name, text in sorted(items, key=lambda x: (x[0], x[1] or b"")):
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
             if ids:
                 rows.append(ids)
-                self.names.append(name)
+                self.names.append(name or [None])
         self.shortest = min([window, *map(len, rows)])
         heads, self.item, self.start, self.width = [], [], [], []
         for i, ids in enumerate(rows):
@@ -157,7 +158,7 @@ class TestSet:
                 h = heads[k]
                 if (d[h], m[h]) != last:
                     last = (d[h], m[h])
-                    matches[d[h]].append((self.names[m[h]], int(p[h]), int(p[h] + g[h]), int(length[k])))
+                    matches[d[h]] += [(name, int(p[h]), int(p[h] + g[h]), int(length[k])) for name in self.names[m[h]]]
         return n_words, spans, matches
 
 
@@ -211,6 +212,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col
     spark = docs.sparkSession
     bound_batches(spark)
     items = benchmark.select(benchmark[id_col].cast("string").alias("id"), benchmark[item_text].cast("string").cast("binary").alias("text"))
+    items = items.groupBy("text").agg(F.array_sort(F.collect_set("id")).alias("ids"))  # equal texts are searched once
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-2 * size // block_bytes)) if size > block_bytes else 1
     names = [fresh(c, docs.columns) for c in ("n_words", "hit_spans", "matches")]
@@ -218,16 +220,16 @@ def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col
     state = docs.withColumn(raw, docs[text_col].cast("string").cast("binary"))
     for b in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b)
-        tests = TestSet([(r["id"], bytes(r["text"]) if r["text"] is not None else None) for r in part.collect()], window)
+        tests = TestSet([(r["ids"], bytes(r["text"]) if r["text"] is not None else None) for r in part.collect()], window)
         state = _pass(state, tests, raw, names)
         if b < blocks - 1:
             state = durable(state)
     return state.drop(raw), names
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", **options) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match, items) of each row of ``docs``."""
-    found, (n_words, spans, matches) = annotate(docs.select(docs[id_col].alias("id"), docs["text"]), benchmark, window, **options)
+    found, (n_words, spans, matches) = annotate(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), benchmark, window, **options)
     items = F.array_sort(F.array_distinct(F.filter(F.transform(F.col(matches), lambda m: m["item_id"]), lambda x: x.isNotNull())))
     n_hit = F.aggregate(F.col(spans), F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select(
@@ -238,6 +240,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, **options) -> DataFrame:
-    """The rows of ``docs`` in which no window of the benchmark occurs, with their columns."""
+    """The rows of ``docs`` in which no window of the benchmark occurs, with their columns.
+
+    Null and empty texts have no window and stay; repeated rows stay or go together; an
+    empty table stays empty, and an empty benchmark removes nothing.
+    """
     found, (_, spans, _) = annotate(docs, benchmark, window, **options)
     return found.where(F.size(F.col(spans)) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -116,10 +116,12 @@ class VectorPacker:
                 yield from self._finish(slot)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = CAPACITY, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = CAPACITY, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None, id_col: str = "doc_id", text_col: str = "text", loss_col: str | None = None) -> DataFrame:
     """One row per piece: (id, start, length, ids_crc32, doc_tokens, sequence_id, offset).
 
-    A document is its ids followed by ``end_id``; all of them bear loss.  Null and empty
+    A document is its ids followed by ``end_id``.  All of them bear loss, or, with a
+    ``loss_col`` of spans (start, end) of characters, those that start within a span, and
+    the end id if a span reaches the end of the text; null spans are none.  Null and empty
     texts are the end id alone, repeated rows are packed each, other columns are ignored,
     and an empty table gives no piece.  Each input partition packs its own documents, so
     nothing is shuffled and a lost task is redone alone; the sequence id holds the
@@ -140,17 +142,18 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capaci
             return pa.RecordBatch.from_arrays([pa.array(columns[0], type=id_type), *(pa.array(c, type=pa.int64()) for c in columns[1:])], names=names)
 
         for batch in batches:
-            keys, texts, parts = (batch.column(i).to_pylist() for i in range(3))
+            keys, texts, parts, spans = (batch.column(i).to_pylist() for i in range(4))
             id_type = batch.column(0).type
             rows: list[tuple] = []
-            for key, ids, part in zip(keys, encoder.encode(texts), parts, strict=True):
+            found = zip(encoder.encode(texts), [None] * len(texts), strict=True) if loss_col is None else map(encoder.masked, texts, spans)
+            for key, (ids, loss), part in zip(keys, found, parts, strict=True):
                 if packer is None:
                     packer = VectorPacker(part << 40, capacity, max_segments, max_loss)
-                rows.extend(packer.add(key, ids + end))
+                rows.extend(packer.add(key, ids + end, loss))
             if rows:
                 yield built(rows)
         if packer is not None and (rows := list(packer.flush())):
             yield built(rows)
 
-    out = docs.select(docs[id_col], docs[text_col].cast("string").cast("binary"), F.spark_partition_id().cast("long")).mapInArrow(run, schema)
+    out = docs.select(docs[id_col], docs[text_col].cast("string").cast("binary"), F.spark_partition_id().cast("long"), (docs[loss_col] if loss_col else F.lit(None)).cast("array<struct<start:long,end:long>>")).mapInArrow(run, schema)
     return out.withColumnRenamed("id", id_col)

@@ -245,7 +245,11 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, text_col: str = "text",
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
-    """``docs`` with repeated windows taken out of the text; texts without any stay as they are."""
+    """``docs`` with repeated windows taken out of the text; texts without any stay as they are.
+
+    Null texts stay null and empty ones empty; of repeated rows of a window or more each
+    loses its text; a text of repeats only becomes empty, and its row stays.
+    """
     out, (_, removed, kept, _) = find_repeats(docs, window, text_col)
     text = F.when(F.col(removed) > 0, F.col(kept).cast("string")).otherwise(F.col(text_col))
     return out.withColumn(text_col, text).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -176,6 +176,16 @@ class PieceEncoder:
                 self.known.clear()
             yield b"".join(map(ids, text.split())) if text else b""
 
+    def masked(self, text: bytes | None, spans: list[dict] | None) -> tuple[bytes, np.ndarray]:
+        """The ids of a text, and whether each of them and an end id after them starts within a span of characters."""
+        whole = (text or b"").decode()
+        x = self.tokenizer.encode(whole, add_special_tokens=False)
+        at = np.array([*(a for a, _ in x.offsets), max(0, len(whole) - 1)], dtype=np.int64)
+        loss = np.zeros(len(at), dtype=np.int64)
+        for s in spans or []:
+            loss[(at >= s["start"]) & (at < s["end"])] = 1
+        return _bytes(x.ids), loss
+
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) of each row of ``docs``.

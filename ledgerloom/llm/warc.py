@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, durable
 
 #: Payloads below this many bytes are always written whole.
 REVISIT_BYTES = 100
-CAPTURES_PER_FILE = 20_000
+#: Most captures of a file, and about how many bytes before compression.
+CAPTURES_PER_FILE, FILE_BYTES = 20_000, 1 << 30
 _CRLF = "\r\n"
 _MARK = "WARC/1.1\r\n"
+_ANY_MARK = "WARC/1."  # 1.0 is read as well
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = (
     "warc_type string, record_id string, concurrent_to string, refers_to string, target_uri string, warc_date string, "
@@ -62,7 +64,10 @@ def write_captures(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     rows = pages.select(pages[id_col].alias("id"), pages[url_col].cast("string").alias("url"), body.alias("body"))
     rows = rows.withColumn("digest", F.sha2(F.col("body").cast("binary"), 256)).withColumn("size", F.octet_length("body"))
     first = rows.where(F.col("size") >= revisit_bytes).groupBy("digest").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "url"))).alias("first"), F.count("*").alias("n"))
-    first = first.where((F.col("n") > 1) & F.col("first").isNotNull()).select("digest", "first")
+    # written first, so that Spark may split the join at a payload of very many rows
+    first = durable(first.where((F.col("n") > 1) & F.col("first").isNotNull()).select("digest", "first"))
+    size = pages.agg(F.avg(F.octet_length(body))).first()[0] or 0
+    per_file = int(min(CAPTURES_PER_FILE, max(1, FILE_BYTES // (size + 1000))))
     rows = rows.join(first, "digest", "left").withColumn("again", F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first.id")))
     if each:
         same = Window.partitionBy("id", "url", "digest").orderBy(F.lit(1))
@@ -85,7 +90,7 @@ def write_captures(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     notes = F.concat(_line("page-id", F.col("id").cast("string")), _line("payload-bytes", F.col("size").cast("string")))
     metadata = _record(notes, _line("WARC-Type", F.lit("metadata")), _line("WARC-Record-ID", _urn(F.lit("metadata"), *key)), *common, _line("WARC-Concurrent-To", capture), _line("Content-Type", F.lit("application/warc-fields")))
     end = F.lit(_CRLF * 2)
-    rows.select(F.concat(response, end, request, end, metadata).alias("value")).write.option("lineSep", _CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", CAPTURES_PER_FILE).text(path)
+    rows.select(F.concat(response, end, request, end, metadata).alias("value")).write.option("lineSep", _CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
 def _headers(data: bytes) -> dict[str, str]:
@@ -122,10 +127,17 @@ def read_records(spark: SparkSession, path: str, keep_payload: bool = True) -> D
     """One row per record of the gzip archives below ``path`` (columns: ``RECORD``).
 
     Digest and size are those of the payload as read; a revisit gives what its headers
-    declare of the full payload.  A record that its file cuts short is left out.
+    declare of the full payload.  A record that its file cuts short is left out.  Fields
+    may be missing and are null then; of a repeated field the first counts; an empty folder
+    gives no record.  A file that is not compressed as a whole is refused, for Spark would
+    split it within a record.
     """
     bound_batches(spark)
-    mark = _MARK.encode()
+    pieces = spark.read.option("lineSep", _ANY_MARK).text(path)
+    plain = [f for f in pieces.inputFiles() if not f.endswith(".gz")]
+    if plain:
+        raise ValueError(f"not a gzip archive: {plain[0]}")
+    mark = _ANY_MARK.encode()
     types = pa.schema([
         *((n, pa.string()) for n in ("warc_type", "record_id", "concurrent_to", "refers_to", "target_uri", "warc_date", "content_type", "payload_digest")),
         ("payload_bytes", pa.int64()), ("fields", pa.map_(pa.string(), pa.string())), ("payload", pa.binary()),
@@ -137,7 +149,7 @@ def read_records(spark: SparkSession, path: str, keep_payload: bool = True) -> D
         def length(piece: bytes) -> int | None:
             """Bytes that a record has after its mark, up to the end of its block."""
             end = piece.find(b"\r\n\r\n")
-            given = _headers(piece[:end]).get("content-length", "") if end >= 0 else ""
+            given = _headers(piece[:end]).get("content-length", "") if end >= 0 and piece[:3] in (b"0\r\n", b"1\r\n") else ""
             return end + 4 + int(given) if given.isdigit() else None
 
         for batch in batches:
@@ -157,7 +169,6 @@ def read_records(spark: SparkSession, path: str, keep_payload: bool = True) -> D
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=types)
 
-    pieces = spark.read.option("lineSep", _MARK).text(path)
     return pieces.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("piece")).mapInArrow(run, RECORD)
 
 

@@ -88,6 +88,21 @@ def test_packing_round_trip(spark):
     assert packing.pack_documents(frame(spark), WORDS).select("doc_id").distinct().count() == 6
 
 
+def test_loss_limit_binds(spark):
+    rows = [(i, "ask this " * 20 + "tell that " * n, [(180, 180 + 10 * n)]) for i, n in enumerate([30, 5, 60, 1, 44, 12, 90, 7] * 3)] + [(90, "no span", None), (91, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans array<struct<start:long,end:long>>").coalesce(1)
+    pieces = [r.asDict() for r in packing.pack_documents(docs, WORDS, max_loss=128, capacity=1024, loss_col="spans").collect()]
+    ids = {i: [*word_bpe.encode(t or "", add_special_tokens=False).ids, 2] for i, t, _ in rows}
+    check_pieces(pieces, ids, 1024)
+    borne = {i: [0] * 40 + [1] * (len(ids[i]) - 40) if s else [0] * len(ids[i]) for i, _, s in rows}
+    load = {}
+    for p in pieces:
+        load[p["sequence_id"]] = load.get(p["sequence_id"], 0) + sum(borne[p["doc_id"]][p["start"] : p["start"] + p["length"]])
+    assert 64 <= max(load.values()) <= 128
+    loose = packing.pack_documents(docs, WORDS, capacity=1024, loss_col="spans")
+    assert loose.select("sequence_id").distinct().count() < len(load)
+
+
 def test_vector_limits():
     rng = random.Random(8)
     packer = packing.VectorPacker(0, capacity=64, max_segments=5, max_loss=40, open_limit=4)
