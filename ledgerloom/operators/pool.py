@@ -30,24 +30,38 @@ def _by_days(credits: DataFrame, settlements: DataFrame, back: int, ahead: int)
     return joined.where(F.datediff("day", "settled_at").between(-ahead, back)).drop("bucket")
 
 
-def candidate_pool(credits: DataFrame, settlements: DataFrame, tolerance: int = TOLERANCE, window_days: int = WINDOW_DAYS, limit: int = POOL_LIMIT) -> DataFrame:
-    """(credit_id, settlement_id, amount_minor, credit_minor, days, pool_rank, truncated).
+def candidate_pairs(credits: DataFrame, settlements: DataFrame, tolerance: int = TOLERANCE, window_days: int = WINDOW_DAYS) -> DataFrame:
+    """(credit_id, settlement_id, amount_minor, credit_minor, days): all that may stand in a pool.
 
     Amounts are positive and at most the credit plus the tolerance.  A pair with an unknown
-    date stays, at the end of the ranking.  The ``limit`` nearest by days, then by id, stay.
+    date is a candidate too; undated credits meet all settlements of their currency, and
+    dated ones the undated settlements, so no dated pair is built outside its window.
     """
     left = credits.select("credit_id", "currency", F.col("amount_minor").alias("credit_minor"), credit_date().alias("day"))
     right = settlements.where("amount_minor > 0").select("settlement_id", "currency", "amount_minor", "settled_at")
-    dated = _by_days(left, right, window_days, EARLY_DAYS)
-    undated = left.join(right, "currency").where(F.col("day").isNull() | F.col("settled_at").isNull())
-    pairs = dated.unionByName(undated).where(F.col("amount_minor") <= F.col("credit_minor") + tolerance)
-    pairs = pairs.withColumn("days", F.coalesce(F.abs(F.datediff("day", "settled_at")), F.lit(_FAR)))
+    pairs = _by_days(left, right, window_days, EARLY_DAYS)
+    pairs = pairs.unionByName(left.where("day is null").join(right, "currency")).unionByName(left.where("day is not null").join(right.where("settled_at is null"), "currency"))
+    pairs = pairs.where(F.col("amount_minor") <= F.col("credit_minor") + tolerance)
+    return pairs.select("credit_id", "settlement_id", "amount_minor", "credit_minor", F.coalesce(F.abs(F.datediff("day", "settled_at")), F.lit(_FAR)).alias("days"))
+
+
+def nearest(pairs: DataFrame, limit: int = POOL_LIMIT) -> DataFrame:
+    """The ``limit`` pairs of each credit that are nearest by days, then by id, with pool_rank and truncated."""
     near = Window.partitionBy("credit_id").orderBy("days", "settlement_id")
     ranked = pairs.withColumn("pool_rank", F.row_number().over(near)).where(F.col("pool_rank") <= limit + 1)
     full = Window.partitionBy("credit_id")
     return ranked.withColumn("truncated", F.max("pool_rank").over(full) > limit).where(F.col("pool_rank") <= limit).select("credit_id", "settlement_id", "amount_minor", "credit_minor", "days", "pool_rank", "truncated")
 
 
+def candidate_pool(credits: DataFrame, settlements: DataFrame, tolerance: int = TOLERANCE, window_days: int = WINDOW_DAYS, limit: int = POOL_LIMIT) -> DataFrame:
+    """(credit_id, settlement_id, amount_minor, credit_minor, days, pool_rank, truncated).
+
+    The ``limit`` nearest of :func:`candidate_pairs` by days, then by id; pairs with an
+    unknown date stand at the end of the ranking.
+    """
+    return nearest(candidate_pairs(credits, settlements, tolerance, window_days), limit)
+
+
 def blocked_pairs(credits: DataFrame, settlements: DataFrame, window_days: int = WINDOW_DAYS) -> DataFrame:
     """Pairs for the scoring stages: same currency, at most ``window_days`` apart; an unknown date excludes."""
     left = credits.select("credit_id", "currency", F.col("amount_minor").alias("credit_minor"), credit_date().alias("day"))

@@ -44,7 +44,7 @@ def test_pool_rules(spark):
 
 def test_search_finds_all_best_subsets():
     assert subset_sum.search([700, 600, 400, 300], 1000, 0)[:2] == (0, [(0, 3), (1, 2)])
-    best, kept, _, nodes, spent = subset_sum.search(list(range(1200, 1000, -1)), 5005, 0, budget=50_000)
+    best, kept, _, nodes, spent, _ = subset_sum.search(list(range(1200, 1000, -1)), 5005, 0, budget=50_000)
     assert spent and nodes == 50_001
     rng = random.Random(5)
     for _ in range(60):
@@ -52,11 +52,45 @@ def test_search_finds_all_best_subsets():
         target, tol = rng.randint(1, 900), rng.choice([0, 5, 100])
         all_ = [(abs(sum(a[i] for i in s) - target), s) for k in range(1, 9) for s in itertools.combinations(range(len(a)), k)]
         near = sorted(g for g, _ in all_ if g <= tol)
-        best, kept, second, _, _ = subset_sum.search(a, target, tol)
+        best, kept, second, _, _, after = subset_sum.search(a, target, tol)
         assert best == (near[0] if near else None)
         if near:
             assert kept == sorted(s for g, s in all_ if g == best)[: subset_sum.RIVALS]
             assert second == next((g for g in near if g > best), None)
+            assert after == (None if second is None else min(s for g, s in all_ if g == second))
+
+
+def slow_search(amounts, target, tolerance, cardinality, budget):
+    """The tree walked node by node, in order, up to the budget."""
+    hits, nodes = [], 0
+
+    def walk(start, sum_, path):
+        nonlocal nodes
+        nodes += 1
+        if nodes > budget:
+            return False
+        if path and abs(sum_ - target) <= tolerance:
+            hits.append((abs(sum_ - target), path))
+        room = cardinality - len(path)
+        for i in range(start, len(amounts) if room else start):
+            if sum_ + sum(amounts[i : i + room]) < target - tolerance:
+                break
+            if sum_ + amounts[i] <= target + tolerance and not walk(i + 1, sum_ + amounts[i], (*path, i)):
+                return False
+        return True
+
+    spent = not walk(0, 0, ())
+    gaps = sorted({g for g, _ in hits})
+    of = lambda k: sorted(p for g, p in hits if g == gaps[k])
+    return (gaps[0], of(0)[: subset_sum.RIVALS], gaps[1] if gaps[1:] else None, nodes, spent, of(1)[0] if gaps[1:] else None) if hits else (None, [], None, nodes, spent, None)
+
+
+def test_search_equals_the_ordered_walk_within_any_budget():
+    rng = random.Random(4)
+    for _ in range(300):
+        a = sorted((rng.randint(1, rng.choice([30, 400])) for _ in range(rng.randint(0, 22))), reverse=True)
+        args = a, rng.randint(1, 900), rng.choice([0, 5, 100]), rng.randint(1, 8), rng.choice([1, 2, 7, 50, 500, 10**6])
+        assert subset_sum.search(*args) == slow_search(*args)
 
 
 def test_tie_is_not_a_match(spark):
@@ -89,6 +123,38 @@ def test_parallel_rounds_equal_the_fold(spark):
     assert got == fold(asked, {i: (a, d) for i, a, d in rows})
 
 
+def test_one_currency_with_many_waiting_credits(spark):
+    """A chain of claims in one hot currency: every settlement is wanted by some thirty credits."""
+    rng = random.Random(12)
+    rows = [(f"s{i:05d}", rng.randint(1, 4_000_000), DAY + datetime.timedelta(days=i % 700)) for i in range(3_000)]
+    asked = []
+    for i in range(20_000):
+        k = rng.randrange(len(rows))
+        exact = rng.random() < 0.1
+        asked.append((f"c{i:05d}", rows[k][1] if exact else rng.randint(1, 900_000), rows[k][2] + datetime.timedelta(days=rng.randint(0, 20))))
+    s = settled(spark, *[(i, a, "INR", d, "u" + i, None) for i, a, d in rows])
+    c = credit(spark, *[(i, a, "INR", d, "") for i, a, d in asked])
+    got = {r["credit_id"]: (r["resolution"], tuple(r["settlement_ids"])) for r in subset_sum.match_subsets(c, s, cardinality=2, keep=keep).collect()}
+    assert got == quick_fold(asked, rows)
+
+
+def quick_fold(asked, rows, tolerance=100):
+    """:func:`fold` with the free settlements by day."""
+    by_day = {}
+    for s, a, d in rows:
+        by_day.setdefault(d, {})[s] = a
+    out = {}
+    for cid, amount, day in sorted(asked, key=lambda c: (c[2], c[0])):
+        near = sorted((abs(k), s, a, day - datetime.timedelta(days=k)) for k in range(-1, 31) for s, a in by_day.get(day - datetime.timedelta(days=k), {}).items() if a <= amount + tolerance)[:64]
+        r = subset_sum.solve([s for _, s, _, _ in near], [a for _, _, a, _ in near], amount, False, tolerance=tolerance, cardinality=2)
+        out[cid] = (r[0], tuple(r[1]))
+        if r[0] == "MATCHED":
+            for _, s, _, d in near:
+                if s in r[1]:
+                    del by_day[d][s]
+    return out
+
+
 def test_each_settlement_is_claimed_once(spark):
     rng = random.Random(3)
     rows = [(f"c{rng.randint(0, 30):02d}", f"s{rng.randint(0, 30):02d}", round(rng.random(), 2)) for _ in range(300)]
