@@ -21,10 +21,14 @@ class StatementError(ValueError):
 
 
 def check_camt_root(spark: SparkSession, path: str) -> None:
-    """Raise unless each file's root is a Document of the expected namespace."""
-    head = F.substring(F.regexp_replace("value", r"(?s)^\s*(<\?.*?\?>|<!--.*?-->|\s)*", ""), 1, 2000)
-    root = F.regexp_extract(head, r"^<(?:\w+:)?Document\b([^>]*)>", 1)
-    bad = spark.read.text(path, wholetext=True).where(~root.contains(CAMT_NAMESPACE)).select("_metadata.file_path").take(1)
+    """Raise unless each file's root is a Document of the expected namespace.
+
+    Files are read tag by tag, so a large statement is never one value.
+    """
+    tags = spark.read.option("lineSep", ">").text(path)
+    root = F.regexp_extract("value", r"<(?:\w+:)?Document\b([^>]*)$", 1)
+    known = tags.where(root.contains(CAMT_NAMESPACE)).select(F.col("_metadata.file_path").alias("file")).distinct()
+    bad = tags.select(F.col("_metadata.file_path").alias("file")).distinct().join(known, "file", "left_anti").take(1)
     if bad:
         raise StatementError(f"no camt.053.001.02 document: {bad[0][0]}")
 
@@ -52,26 +56,42 @@ def mt103_messages(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(text, "\r\n", "\n"), r"\n\$\n?"), lambda m: F.trim(m) != "")
 
 
+# How block 4, its tags and three of its fields are written.
+_BLOCK4 = r"(?s)^.*?\{4:(.*)-\}\s*$"
+_TAG = r"^:(\d{2}[A-Z]?):(.*)$"
+_VALUE = r"^(\d{2})(\d{2})(\d{2})([A-Z]{3})([\d,]+)$"
+_INSTRUCTED = r"^([A-Z]{3})([\d,]+)$"
+_PURPOSE = r"PURPOSE CODE\s+(\S+)"
+_FIELDS = "array<struct<tag:string,line:string>>"
+
+
 def mt103_fields(message: Column) -> Column:
-    """Array of (tag, lines): block 4 by field, continuation lines with their field."""
-    block = F.regexp_extract(message, r"(?s)\{4:\n?(.*?)\n-\}", 1)
+    """Array of (tag, line): the lines of block 4, those that open no tag under the tag before.
+
+    Lines before the first tag and blank lines are left out.  Null without a block 4.
+    """
     step = F.aggregate(
-        F.split(block, "\n"),
-        F.expr("cast(array() as array<struct<tag:string,lines:array<string>>>)"),
-        lambda acc, line: F.when(line.rlike(r"^:\d{2}[A-Z]?:"), F.concat(acc, F.array(F.struct(F.regexp_extract(line, r"^:(\d{2}[A-Z]?):", 1).alias("tag"), F.array(F.regexp_extract(line, r"^:\d{2}[A-Z]?:(.*)$", 1)).alias("lines")))))
-        .when(F.size(acc) == 0, acc)
-        .otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["tag"].alias("tag"), F.concat(F.element_at(acc, -1)["lines"], F.array(line)).alias("lines"))))),
+        F.split(F.regexp_extract(message, _BLOCK4, 1), "\n"),
+        F.expr(f"cast(array() as {_FIELDS})"),
+        lambda acc, line: F.when(line.rlike(_TAG), F.concat(acc, F.array(F.struct(F.regexp_extract(line, _TAG, 1).alias("tag"), F.regexp_extract(line, _TAG, 2).alias("line")))))
+        .when((F.size(acc) == 0) | (F.trim(line) == ""), acc)
+        .otherwise(F.concat(acc, F.array(F.struct(F.element_at(acc, -1)["tag"].alias("tag"), line.alias("line"))))),
     )
-    return F.when(message.rlike(r"(?s)\{4:.*\n-\}"), step)
+    return F.when(message.rlike(_BLOCK4), step)
 
 
 def field_lines(fields: Column, *tags: str) -> Column:
-    """Lines of the first of these tags that is there."""
+    """All lines of the first of these tags that is there, repeated tags together; null without."""
     return F.coalesce(*[_lines_of(fields, tag) for tag in tags])
 
 
 def _lines_of(fields: Column, tag: str) -> Column:
-    return F.get(F.transform(F.filter(fields, lambda f: f["tag"] == tag), lambda f: f["lines"]), F.lit(0))
+    lines = F.transform(F.filter(fields, lambda f: f["tag"] == tag), lambda f: f["line"])
+    return F.when(F.size(lines) > 0, lines)
+
+
+def _first_line(fields: Column, tag: str) -> Column:
+    return F.trim(F.get(_lines_of(fields, tag), F.lit(0)))
 
 
 def wrapped(lines: Column) -> Column:
@@ -79,34 +99,52 @@ def wrapped(lines: Column) -> Column:
     return F.trim(F.array_join(lines, ""))
 
 
+def _account_first(lines: Column) -> Column:
+    return F.trim(F.element_at(lines, 1)).startswith("/")
+
+
 def party(lines: Column) -> Column:
     """Name and address in one line; a leading account line is left out."""
-    rest = F.when(F.element_at(lines, 1).startswith("/"), F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))).otherwise(lines)
-    return F.trim(F.array_join(F.transform(rest, lambda x: F.trim(x)), " "))
+    rest = F.when(_account_first(lines), F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))).otherwise(lines)
+    return F.array_join(F.filter(F.transform(rest, lambda x: F.trim(x)), lambda x: x != ""), " ")
+
+
+def account(lines: Column) -> Column:
+    """The account of a party, without its slashes; null without one."""
+    return F.when(_account_first(lines), F.nullif(F.regexp_replace(F.trim(F.element_at(lines, 1)), "^/+", ""), F.lit("")))
 
 
-def _comma(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, ",", "."), r"\.$", "")
+def _malformed(what: str, text: Column, kind: str) -> Column:
+    return F.raise_error(F.concat(F.lit(f"malformed field {what} "), text)).cast(kind)
+
+
+def _amount(text: Column, what: str) -> Column:
+    minor = parse_minor(F.regexp_replace(text, ",", "."))
+    return F.when(text.isNotNull(), F.coalesce(minor, _malformed(what, text, "long")))
 
 
 def parse_mt103(messages: DataFrame) -> DataFrame:
-    """Credits from a frame with a ``message`` column.  Block 4, :20:, :32A: and :50a: must be there."""
+    """Credits from a frame with a ``message`` column.
+
+    Block 4, :20:, :32A: and :50a: must be there; a malformed :32A:, :33B: or :36: raises.
+    """
     f = F.col("fields")
-    named = messages.withColumn("fields", mt103_fields(F.col("message"))).withColumn("fields", F.when(f.isNull(), F.raise_error(F.lit("MT103 without block 4")).cast("array<struct<tag:string,lines:array<string>>>")).otherwise(f))
-    value = F.array_join(field_lines(f, "32A"), "")
-    instructed = F.array_join(field_lines(f, "33B"), "")
-    amount = r"^(\d{2})(\d{2})(\d{2})([A-Z]{3})([\d,]+)"
-    part = lambda k: F.regexp_extract(value, amount, k)
-    day = F.make_date(F.lit(2000) + part(1).try_cast("int"), part(2).try_cast("int"), part(3).try_cast("int"))
-    checked = F.when(F.coalesce(value.rlike(amount), F.lit(False)), day).otherwise(F.raise_error(F.lit("MT103 without :32A:")).cast("date"))
+    named = messages.withColumn("fields", mt103_fields(F.col("message"))).withColumn("fields", F.when(f.isNull(), F.raise_error(F.lit("MT103 without block 4")).cast(_FIELDS)).otherwise(f))
+    value, instructed, rate = _first_line(f, "32A"), _first_line(f, "33B"), _first_line(f, "36")
+    part = lambda k: F.regexp_extract(value, _VALUE, k)
+    day = F.try_to_timestamp(F.concat(F.lit("20"), part(1), part(2), part(3)), F.lit("yyyyMMdd")).cast("date")
+    checked = F.when(value.isNull(), F.raise_error(F.lit("MT103 without :32A:")).cast("date")).when(value.rlike(_VALUE) & day.isNotNull(), day).otherwise(_malformed(":32A:", value, "date"))
     payer = field_lines(f, "50K", "50A", "50F", "50")
+    payer = F.when(payer.isNull(), F.raise_error(F.lit(":50a: is missing")).cast("array<string>")).otherwise(payer)
+    foreign = F.when(instructed.isNotNull() & ~instructed.rlike(_INSTRUCTED), _malformed(":33B:", instructed, "string")).otherwise(instructed)
     return named.select(
-        F.lit("bank_credit").alias("source"), required(F.array_join(field_lines(f, "20"), ""), ":20:").alias("record_id"), required(party(payer), ":50a:").alias("counterparty_name"),
-        F.coalesce(wrapped(field_lines(f, "70")), F.lit("")).alias("narration"), parse_minor(_comma(part(5))).alias("amount_minor"), part(4).alias("currency"),
-        checked.alias("booking_date"), checked.alias("value_date"), F.trim(F.array_join(field_lines(f, "20"), "")).alias("end_to_end_id"),
-        parse_rate(_comma(F.array_join(field_lines(f, "36"), ""))).alias("conversion_rate"), parse_minor(_comma(F.regexp_extract(instructed, r"^[A-Z]{3}([\d,]+)", 1))).alias("foreign_amount_minor"),
-        F.nullif(F.regexp_extract(instructed, r"^([A-Z]{3})", 1), F.lit("")).alias("foreign_currency"),
-        F.nullif(F.regexp_extract(F.array_join(field_lines(f, "72"), " "), r"PURPOSE CODE\s+(\S+)", 1), F.lit("")).alias("purpose_code"), F.array_join(field_lines(f, "71A"), "").alias("charges"),
+        F.lit("bank_credit").alias("source"), required(_first_line(f, "20"), ":20:").alias("record_id"), party(payer).alias("counterparty_name"),
+        F.coalesce(wrapped(field_lines(f, "70")), F.lit("")).alias("narration"), _amount(F.nullif(part(5), F.lit("")), ":32A:").alias("amount_minor"), F.nullif(part(4), F.lit("")).alias("currency"),
+        checked.alias("booking_date"), checked.alias("value_date"), _first_line(f, "20").alias("end_to_end_id"),
+        F.when(rate.isNotNull(), F.coalesce(parse_rate(F.regexp_replace(rate, ",", ".")), _malformed(":36:", rate, "decimal(18,8)"))).alias("conversion_rate"),
+        _amount(F.regexp_extract(foreign, _INSTRUCTED, 2), ":33B:").alias("foreign_amount_minor"), F.regexp_extract(foreign, _INSTRUCTED, 1).alias("foreign_currency"),
+        F.nullif(F.regexp_extract(wrapped(field_lines(f, "72")), _PURPOSE, 1), F.lit("")).alias("purpose_code"), F.coalesce(_first_line(f, "71A"), F.lit("")).alias("charges"),
+        account(payer).alias("ordering_account"), account(field_lines(f, "59")).alias("beneficiary_account"), F.coalesce(party(field_lines(f, "59")), F.lit("")).alias("beneficiary"), F.lit("SWIFT_MT103").alias("channel"),
     )
 
 

@@ -45,4 +45,4 @@ def test_jaro_winkler(a, b, want):
 
     if want is None:
         want = duckdb.sql(f"select jaro_winkler_similarity('{a}', '{b}')").fetchall()[0][0]
-    assert text._jaro_winkler(a, b) == pytest.approx(want, abs=1e-5)
+    assert text.jaro_winkler_pairs([a], [b])[0] == pytest.approx(want, abs=1e-5)

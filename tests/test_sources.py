@@ -77,6 +77,43 @@ def test_mt103_malformed(spark, message, why):
         bank.parse_mt103(spark.createDataFrame([(message,)], "message string")).collect()
 
 
+def test_mt103_departures(spark):
+    """Repeated tags, a wrapped :72:, an account after blanks, a trailer at a line's end, malformed fields."""
+    head = "{1:F01}{4:\n:20:R1\n"
+    one = head + ":32A:260805INR1234,5\n:33B:USD15,25\n:36:81,5\n:50K:  /ACC1\n ACME LTD \n\n1 ROAD\n:59:/BEN9\nUS\n:70:first half \n:70:second\nhalf\n:72:/ACC/PURPOSE CO\nDE P08\n02-}"
+    row = bank.parse_mt103(spark.createDataFrame([(one,)], "message string")).first()
+    assert (row["narration"], row["purpose_code"], row["counterparty_name"], row["ordering_account"]) == ("first half secondhalf", "P0802", "ACME LTD 1 ROAD", "ACC1")
+    assert (row["amount_minor"], row["foreign_amount_minor"], row["foreign_currency"], float(row["conversion_rate"]), row["beneficiary"], row["beneficiary_account"]) == (123450, 1525, "USD", 81.5, "US", "BEN9")
+    for bad, why in ((":32A:260805INR1,00X", "32A"), (":32A:261305INR1,00", "32A"), (":32A:260805INR1,005", "32A"), (":32A:260805INR1,00\n:33B:US1,00", "33B"), (":32A:260805INR1,00\n:36:abc", "36")):
+        with pytest.raises(Exception, match=why):
+            bank.parse_mt103(spark.createDataFrame([(f"{head}{bad}\n:50K:N\n-}}",)], "message string")).collect()
+
+
+def test_foreign_legs_round_trip(spark, tmp_path):
+    rows = credits(spark).withColumns({"foreign_amount_minor": F.when(F.col("record_id") == "B1", F.lit(1500)).cast("long"), "foreign_currency": F.when(F.col("record_id") == "B1", "USD"), "conversion_rate": F.when(F.col("record_id") == "B1", F.lit("82.5")).cast("decimal(18,8)"), "purpose_code": F.when(F.col("record_id") == "B1", "P0802")})
+    names = ["end_to_end_id", "amount_minor", "foreign_amount_minor", "foreign_currency", "conversion_rate"]
+    want = sorted(map(str, rows.select(*names).collect()))
+    writers.write_camt(rows, str(tmp_path / "camt"))
+    writers.write_mt103(rows, str(tmp_path / "mt"))
+    assert sorted(map(str, bank.read_camt(spark, str(tmp_path / "camt")).select(*names).collect())) == want
+    wires = bank.read_mt103(spark, str(tmp_path / "mt"))
+    assert sorted(map(str, wires.select(*names).collect())) == want
+    assert {r["purpose_code"] for r in wires.collect()} == {"P0802", None}
+
+
+def test_truth_and_invoices(spark, tmp_path):
+    (tmp_path / "t.json").write_text('{"cases": [{"case_id": "k1", "defect_class": "clean", "expected_link": {"bank_txn_id": "b1", "covers_settlement_ids": ["s2", "s1"]}, "expected_link_resolution": "MATCHED"}, {"case_id": "k2", "defect_class": "timing_pending", "expected_link": {"bank_txn_id": null}}]}')
+    got = {r["case_id"]: r.asDict() for r in bank.read_truth(spark, str(tmp_path / "t.json")).collect()}
+    assert got["k1"] == {"case_id": "k1", "defect_class": "clean", "bank_txn_id": "b1", "settlement_ids": ["s1", "s2"], "link_resolution": "MATCHED"}
+    assert got["k2"]["bank_txn_id"] is None and got["k2"]["settlement_ids"] == []
+    lines = [",".join(csv_feeds.INVOICE_COLUMNS), "INV-1,2026-08-01,order_1,Acme Ltd,US,USD,100.50,OPEN,P0802,SB1,2026-08-02,2027-05-01,,note", "INV-2,2026-08-01,,Bolt,US,USD,7.00,PAID,,,,,7.00,"]
+    (tmp_path / "i.csv").write_text("\n".join(lines) + "\n")
+    rows = {r["invoice_id"]: r for r in csv_feeds.read_invoices(spark, str(tmp_path / "i.csv")).collect()}
+    assert (rows["INV-1"]["invoice_minor"], rows["INV-1"]["realised_minor"], rows["INV-1"]["shipping_bill_no"], rows["INV-2"]["order_id"]) == (10050, 0, "SB1", None)
+    aged = receivables.age_receipts(csv_feeds.read_invoices(spark, str(tmp_path / "i.csv")), F.lit(DAY))
+    assert [(r["invoice_id"], r["outstanding_minor"], r["status"]) for r in aged.collect()] == [("INV-1", 10050, "AGING")]
+
+
 def test_reports_stay_out_of_inputs(tmp_path):
     with pytest.raises(ValueError, match="below its inputs"):
         writers.write_report({}, str(tmp_path / "data" / "r"), (str(tmp_path / "data"),))
