@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,21 +12,21 @@ ASSERTED = ("MATCHED", "PARTIAL")
 REJECTED = ("UNMATCHED", "AMBIGUOUS", "TIE_AMBIGUOUS")
 
 
-def classify(results: DataFrame, truth: DataFrame) -> DataFrame:
+def classify(results: DataFrame, truth: DataFrame, on: tuple[str, ...] = ("bank_txn_id",), also: tuple[str, ...] = ()) -> DataFrame:
     """Truth cases with the verdict on them.
 
     ``truth``: bank_txn_id, defect_class, true_ids, true_resolution (null: no link).  A
-    case without a result asserts nothing.
+    case without a result asserts nothing.  ``also``: further columns of the results.
     """
-    r = results.select("bank_txn_id", F.col("resolution").alias("got"), F.col("settlement_ids").alias("got_ids"), "confidence")
+    r = results.select(*on, *also, F.col("resolution").alias("got"), F.col("settlement_ids").alias("got_ids"), "confidence")
     asserted = F.coalesce(F.col("got").isin(*ASSERTED), F.lit(False))
     linked = F.coalesce(F.col("true_resolution").isin(*ASSERTED), F.lit(False))
-    right = (F.array_sort("got_ids") == F.array_sort("true_ids")) & (F.col("got") == F.col("true_resolution"))
+    right = (F.array_sort(F.array_distinct("got_ids")) == F.array_sort(F.array_distinct("true_ids"))) & (F.col("got") == F.col("true_resolution"))
     verdict = (
         F.when(~asserted & ~linked, "correct").when(~asserted & (F.col("got") == "TIE_AMBIGUOUS"), "tie_ambiguous").when(~asserted, "false_clear")
         .when(~linked, "false_match").when(F.coalesce(right, F.lit(False)), "correct").otherwise("false_match")
     )
-    return truth.join(r, "bank_txn_id", "left").withColumns({"asserted": asserted, "linked": linked, "verdict": verdict})
+    return truth.join(r, list(on), "left").withColumns({"asserted": asserted, "linked": linked, "verdict": verdict})
 
 
 def _share(n: Column, of: Column, empty: float | None) -> Column:
@@ -31,7 +34,11 @@ def _share(n: Column, of: Column, empty: float | None) -> Column:
 
 
 def metrics(classified: DataFrame) -> DataFrame:
-    """Counts and rates by defect class and, under ``(all)``, over all."""
+    """Counts and rates by defect class and, under ``(all)``, over all.
+
+    Precision and recall divide all correct cases, right abstentions included, as the
+    match rate does; ``link_precision`` and ``link_recall`` divide right links only.
+    """
     n = lambda v: F.count_if(F.col("verdict") == v)
     sets = classified.rollup("defect_class").agg(
         F.grouping("defect_class").alias("all"), F.count("*").alias("total"), F.count_if("linked").alias("true_link"), F.count_if("asserted").alias("asserted"),
@@ -41,7 +48,9 @@ def metrics(classified: DataFrame) -> DataFrame:
     return sets.select(
         F.when(F.col("all") == 1, "(all)").otherwise(F.col("defect_class")).alias("defect_class"), "total", "true_link", "asserted", "correct", "false_match", "false_clear", "tie_ambiguous",
         _share(F.col("false_match"), F.col("total"), 0.0).alias("false_match_rate"), _share(F.col("false_clear"), F.col("true_link"), 0.0).alias("false_clear_rate"),
-        _share(F.col("tie_ambiguous"), F.col("true_link"), 0.0).alias("tie_rate"), _share(F.col("right_links"), F.col("asserted"), None).alias("precision"), _share(F.col("right_links"), F.col("true_link"), None).alias("recall"),
+        _share(F.col("tie_ambiguous"), F.col("true_link"), 0.0).alias("tie_rate"), _share(F.col("correct"), F.col("total"), 0.0).alias("match_rate"),
+        _share(F.col("correct"), F.col("asserted"), None).alias("precision"), _share(F.col("correct"), F.col("true_link"), None).alias("recall"),
+        _share(F.col("right_links"), F.col("asserted"), None).alias("link_precision"), _share(F.col("right_links"), F.col("true_link"), None).alias("link_recall"),
     )
 
 
@@ -56,19 +65,57 @@ def threshold_sweep(results: DataFrame, truth: DataFrame, steps: int = 10) -> Da
     return withheld.withColumn("v", verdict).groupBy("threshold").agg(n("false_match").alias("false_match"), n("false_clear").alias("false_clear"), n("correct").alias("correct"))
 
 
-def mutate(results: DataFrame, percent: int) -> DataFrame:
-    """Results of which about ``percent`` in a hundred name a wrong settlement, chosen by a hash of the id."""
-    hit = (F.crc32(F.col("bank_txn_id").cast("binary")) % 100 < percent) & F.col("resolution").isin(*ASSERTED)
-    wrong = F.transform("settlement_ids", lambda x: F.concat(x, F.lit("-WRONG")))
-    return results.withColumn("settlement_ids", F.when(hit, wrong).otherwise(F.col("settlement_ids")))
+def _chosen(percent: Column) -> Column:
+    """Whether a credit is among about ``percent`` in a hundred, by a hash of its id."""
+    return F.conv(F.substring(F.md5(F.col("bank_txn_id").cast("binary")), 1, 8), 16, 10).cast("long") % 100 < percent
+
+
+def mutate(results: DataFrame, right: DataFrame, percent: Column) -> DataFrame:
+    """``results`` in which about ``percent`` in a hundred of the ``right`` credits name as many wrong settlements, and ``mutated``.
+
+    The same credits are chosen at every run, and those of a lower share at every higher one.
+    """
+    known = results.join(right.select("bank_txn_id", F.lit(True).alias("right")), "bank_txn_id", "left")
+    hit = F.coalesce("right", F.lit(False)) & _chosen(percent)
+    wrong = F.transform("settlement_ids", lambda x: F.concat(F.lit("not "), x))
+    return known.withColumn("mutated", hit).withColumn("settlement_ids", F.when(hit, wrong).otherwise(F.col("settlement_ids"))).drop("right")
 
 
 def mutation_sweep(results: DataFrame, truth: DataFrame, percents: tuple[int, ...] = (0, 5, 20, 50)) -> DataFrame:
-    """(percent, total, false_match): false matches must grow with what was spoiled."""
-    grid = results.sparkSession.createDataFrame([(p,) for p in percents], "percent int")
-    base = classify(results, truth).crossJoin(F.broadcast(grid))  # four rows
-    hit = (F.crc32(F.col("bank_txn_id").cast("binary")) % 100 < F.col("percent")) & F.col("asserted")
-    return base.groupBy("percent").agg(F.count("*").alias("total"), F.count_if(hit | (F.col("verdict") == "false_match")).alias("false_match"))
+    """(percent, mutated, total, false_match, false_match_rate): the metric must move with what was spoiled.
+
+    Rightly asserted results are spoiled and all are classified again.
+    """
+    grid = results.sparkSession.createDataFrame([(p,) for p in percents], "percent int")  # four rows
+    right = classify(results, truth).where("verdict = 'correct' and asserted")
+    spoiled = mutate(results.crossJoin(F.broadcast(grid)), right, F.col("percent"))
+    judged = classify(spoiled, truth.crossJoin(F.broadcast(grid)), ("bank_txn_id", "percent"), ("mutated",))
+    out = judged.groupBy("percent").agg(F.count_if("mutated").alias("mutated"), F.count("*").alias("total"), F.count_if(F.col("verdict") == "false_match").alias("false_match"))
+    return out.withColumn("false_match_rate", _share(F.col("false_match"), F.col("total"), 0.0))
+
+
+def mutate_bundles(results: DataFrame, truth: DataFrame, decoys: DataFrame) -> DataFrame:
+    """(bank_txn_id, true_ids, wrong_ids, verdict_before, verdict_after): bundles that were right, with their labelled decoys put in.
+
+    ``decoys``: bank_txn_id, decoy_ids; decoys that are the bundle itself are left out.
+    """
+    before = classify(results, truth).where("verdict = 'correct' and asserted").join(decoys, "bank_txn_id")
+    before = before.where(F.array_sort("decoy_ids") != F.array_sort("got_ids")).select("bank_txn_id", F.col("verdict").alias("verdict_before"), F.array_sort("decoy_ids").alias("wrong_ids"))
+    spoiled = results.join(before, "bank_txn_id").withColumn("settlement_ids", F.col("wrong_ids"))
+    after = classify(spoiled, truth.join(before.select("bank_txn_id"), "bank_txn_id", "left_semi")).select("bank_txn_id", "true_ids", F.col("verdict").alias("verdict_after"))
+    return before.join(after, "bank_txn_id").select("bank_txn_id", F.array_sort("true_ids").alias("true_ids"), "wrong_ids", "verdict_before", "verdict_after")
+
+
+def throughput(match: Callable[[DataFrame, DataFrame], DataFrame], scales: dict[str, tuple[DataFrame, DataFrame]]) -> list[dict]:
+    """A row per named (credits, settlements): their numbers, the seconds that ``match`` takes on them, and credits a second."""
+    rows = []
+    for name, (credits, settlements) in scales.items():
+        n, m = credits.count(), settlements.count()
+        began = time.perf_counter()
+        match(credits, settlements).write.format("noop").mode("overwrite").save()
+        took = time.perf_counter() - began
+        rows.append({"scale": name, "settlements": m, "credits": n, "seconds": round(took, 3), "credits_per_sec": round(n / took, 1)})
+    return rows
 
 
 def no_match_control(results: DataFrame) -> DataFrame:

@@ -56,6 +56,17 @@ def explains(residual: Column, correction: Column, close: int = CLOSE) -> Column
     return (correction != 0) & (F.abs(residual - correction) <= close)
 
 
+def settlement_sums(rows: DataFrame, key: str = "settlement_id") -> DataFrame:
+    """(key, gross_minor, fee_minor, tax_minor, refund_minor) over a settlement's rows.
+
+    Gross and refunds are in the base currency where a row has that, else as stated;
+    fees and taxes are those of payments.  A settlement without payments has sums of 0.
+    """
+    base = F.coalesce("base_amount_minor", "amount_minor") if "base_amount_minor" in rows.columns else F.col("amount_minor")
+    of = lambda kind, value: F.coalesce(F.sum(F.when((F.col("type") == "refund") == kind, value)), F.lit(0)).cast("long")
+    return rows.groupBy(key).agg(of(False, base).alias("gross_minor"), of(False, F.col("fee_minor")).alias("fee_minor"), of(False, F.col("tax_minor")).alias("tax_minor"), of(True, base).alias("refund_minor"))
+
+
 def decompose_variance(settlements: DataFrame, close: int = CLOSE) -> DataFrame:
     """Attribute what a settlement's net leaves unexplained to one cause.
 

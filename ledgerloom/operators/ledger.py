@@ -6,7 +6,7 @@ identifiers that are there already, and :func:`verify` finds what was changed la
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.digest import basis_points, digest128
@@ -17,8 +17,20 @@ STAGES = {"deterministic": 1, "subset_sum": 2, "probabilistic": 3, "fuzzy": 4}
 UNKNOWN_STAGE = 999
 
 
+def _evidence(decisions: DataFrame) -> Column:
+    """The evidence of each decision as one text: ``name=value`` in the order of the names."""
+    if "evidence" not in decisions.columns:
+        return F.lit("")
+    pairs = F.array_sort(F.map_entries("evidence"))
+    return F.coalesce(F.array_join(F.transform(pairs, lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))), "|"), F.lit(""))
+
+
 def postings(decisions: DataFrame) -> DataFrame:
-    """One transfer per decision (bank_txn_id, stage, resolution, settlement_ids, credit_minor, confidence, reason)."""
+    """One transfer per decision (bank_txn_id, stage, resolution, settlement_ids, credit_minor, confidence, reason).
+
+    ``evidence``, a map of names to values, is part of the evidence's digest where the
+    decisions have it.
+    """
     code = F.lit(UNKNOWN_STAGE)
     for name, n in STAGES.items():
         code = F.when(F.col("stage") == name, n).otherwise(code)
@@ -27,7 +39,8 @@ def postings(decisions: DataFrame) -> DataFrame:
         digest128(F.col("bank_txn_id"), F.col("stage"), F.col("resolution"), ids).alias("transfer_id"), "bank_txn_id", F.lit(SUSPENSE).alias("debit_account"),
         F.when(F.col("resolution").isin("MATCHED", "PARTIAL"), RECONCILED).otherwise(EXCEPTIONS).alias("credit_account"), F.col("credit_minor").alias("amount_minor"), code.alias("stage_code"),
         basis_points(F.col("confidence")).alias("confidence_bp"),
-        digest128(F.col("stage"), F.col("resolution"), F.col("reason"), F.format_string("%.4f", F.col("confidence").cast("double")), ids).alias("evidence_digest"),
+        digest128(F.col("stage"), F.col("resolution"), F.col("reason"), F.format_string("%.4f", F.col("confidence").cast("double")), ids, _evidence(decisions)).alias("evidence_digest"),
+        F.substring(digest128(ids), 1, 16).alias("settlements_digest"),
     )
 
 
@@ -65,7 +78,7 @@ def append(spark: SparkSession, path: str, transfers: DataFrame) -> int:
 
 def verify(expected: DataFrame, ledger: DataFrame) -> DataFrame:
     """(transfer_id, error) for each decision that the ledger lacks or holds otherwise."""
-    fields = ("debit_account", "credit_account", "amount_minor", "stage_code", "confidence_bp", "evidence_digest")
+    fields = ("debit_account", "credit_account", "amount_minor", "stage_code", "confidence_bp", "evidence_digest", "settlements_digest")
     held = ledger.select("transfer_id", *[F.col(c).alias(f"held_{c}") for c in fields], F.lit(True).alias("there"))
     joined = expected.join(held, "transfer_id", "left")
     error = F.when(F.col("there").isNull(), "missing")
@@ -74,6 +87,28 @@ def verify(expected: DataFrame, ledger: DataFrame) -> DataFrame:
     return joined.select("transfer_id", error.alias("error")).where(F.col("error").isNotNull())
 
 
+def lookup(ledger: DataFrame, bank_txn_id: str) -> DataFrame:
+    """The transfers of one credit, in the order they were written."""
+    return ledger.where(F.col("bank_txn_id") == bank_txn_id).orderBy("sequence")
+
+
+def verify_log(expected: DataFrame, ledger: DataFrame) -> DataFrame:
+    """(transfer_id, error) of all that is wrong with a ledger; none if it is sound.
+
+    Decisions that are missing or held otherwise, sequence numbers that repeat or are
+    missing, and books that don't balance: what leaves the suspense account must be what
+    the two others get.
+    """
+    repeated = ledger.groupBy("sequence").agg(F.count("*").alias("n"), F.min("transfer_id").alias("transfer_id")).where("n > 1 or sequence is null")
+    repeated = repeated.select("transfer_id", F.lit("sequence repeats").alias("error"))
+    suspense, known = F.col("debit_account") == SUSPENSE, F.col("credit_account").isin(RECONCILED, EXCEPTIONS)
+    amount = lambda side: F.coalesce(F.sum(F.when(side, F.col("amount_minor"))), F.lit(0))
+    books = ledger.agg(amount(suspense).alias("out"), amount(known).alias("in"), F.max("sequence").alias("last"), F.count("*").alias("n"))
+    unbalanced = books.where("out <> in").select(F.lit(None).cast("string").alias("transfer_id"), F.format_string("out of balance: %d left suspense, %d arrived", "out", "in").alias("error"))
+    gaps = books.where("last <> n").select(F.lit(None).cast("string").alias("transfer_id"), F.format_string("%d transfers, the last is number %d", "n", "last").alias("error"))
+    return verify(expected, ledger).unionByName(repeated).unionByName(unbalanced).unionByName(gaps)
+
+
 def sequence_breaks(ledger: DataFrame, order: str = "event_id", value: str = "sequence", group: str | None = None) -> DataFrame:
     """Rows whose value does not exceed that of the row before, within each group."""
     before = F.lag(value).over(Window.partitionBy(*([group] if group else [])).orderBy(order))

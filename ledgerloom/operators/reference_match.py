@@ -28,16 +28,19 @@ def reference_index(settlements: DataFrame) -> DataFrame:
     return one.select("value", "e.rank", "e.field", "e.settlement_id")
 
 
-def match_by_reference(credits: DataFrame, settlements: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
+def match_by_reference(credits: DataFrame, settlements: DataFrame, tolerance: int = TOLERANCE, keep=None) -> DataFrame:
     """A result for each credit whose references hit the index; other credits give no row.
 
     Of several fields that name the settlement the strongest counts, so the confidence does
     not depend on any order.  Columns: bank_txn_id, resolution, settlement_ids, field,
-    credit_minor, net_minor, residual_minor, confidence, reason.
+    credit_minor, net_minor, residual_minor, confidence, reason.  With ``keep``, which
+    writes a frame and reads it again, Spark may split the join with the index at a token
+    that stands in very many narrations.
     """
     own = [F.col(c) for c in FIELDS if c in credits.columns]
     tokens = credits.select("credit_id", F.explode(references(F.col("narration"), *own)).alias("value"))
-    hits = tokens.join(reference_index(settlements), "value")
+    index = reference_index(settlements)
+    hits = tokens.join(keep(index) if keep else index, "value")
     per = hits.groupBy("credit_id").agg(F.array_sort(F.collect_set("settlement_id")).alias("settlement_ids"), F.min(F.struct("rank", "field", "settlement_id")).alias("best"))
     net = settlements.select(F.col("settlement_id").alias("sid"), F.col("amount_minor").alias("net_minor"), F.col("currency").alias("net_currency"))
     joined = per.select("credit_id", "settlement_ids", "best.field", F.col("best.settlement_id").alias("sid")).join(net, "sid").join(credits.select("credit_id", F.col("amount_minor").alias("credit_minor"), "currency"), "credit_id")

@@ -10,13 +10,12 @@ from pyspark.sql import functions as F
 from ..functions.digest import basis_points
 from ..functions.money import forbid_float_money, parse_minor, parse_rate
 from ..functions.text import char_ngrams, jaro_winkler, narration_tokens, word_ngrams
-from ..operators import evaluate, explain, fx, ledger, linkage, pool, ranking, receivables
-from ..operators.claim import greedy_claim
+from ..operators import evaluate, explain, fx, grading, ledger, linkage, names, pool, ranking, receivables
 from ..operators.reference_match import match_by_reference, reference_index
 from ..operators.subset_sum import solve_pools, stage2_confidence
 from ..sources.bank import mt103_messages, parse_mt103
 from . import views
-from .reconcile import deferred, keep, named_pairs, open_settlements, reconcile, tier1
+from .reconcile import deferred, evidence, keep, named_pairs, open_settlements, reconcile, tier1
 from .views import CLASSIFIED_SQL, CREDITS_SQL, ROWS_SQL, SETTLEMENTS_SQL, STAGE1_SQL, TOKENS_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,12 +51,11 @@ def both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def stage1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match_by_reference(*both(spark, sf_dir))
+    return match_by_reference(*both(spark, sf_dir), keep=keep)
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    credit, settled = both(spark, sf_dir)
-    return evaluate.classify(match_by_reference(credit, settled), views.truth(settled))
+    return evaluate.classify(stage1(spark, sf_dir), views.truth(views.settlements(spark, sf_dir)))
 
 
 @query("WITH " + SETTLEMENTS_SQL + " SELECT settlement_id, currency, settled_at, amount_minor FROM settlements")
@@ -110,9 +108,12 @@ def q06_candidate_pool(spark, sf_dir):
     return pool.candidate_pool(*both(spark, sf_dir)).groupBy("credit_id").agg(F.count("*").alias("pool_size"), F.max("truncated").alias("truncated"), F.sum("days").alias("days"), F.sum("amount_minor").alias("amounts"))
 
 
-_BLOCK_SQL = CREDITS_SQL + """,
-blocked AS (SELECT credit_id, settlement_id, c.currency, c.amount_minor AS credit_minor, s.amount_minor, abs(c.value_date - settled_at) AS days, credit_name, settlement_name, quiet
-            FROM credits c JOIN settlements s ON c.currency = s.currency AND abs(c.value_date - settled_at) <= 30)"""
+def _blocked_sql(credit: str, settled: str) -> str:
+    return f"""blocked AS (SELECT credit_id, settlement_id, c.currency, c.amount_minor AS credit_minor, s.amount_minor, abs(c.value_date - settled_at) AS days, credit_name, s.settlement_name
+            FROM {credit} c JOIN {settled} s ON c.currency = s.currency AND abs(c.value_date - settled_at) <= 30)"""
+
+
+_BLOCK_SQL = CREDITS_SQL + ", " + _blocked_sql("credits", "settlements")
 
 
 @query("WITH " + _BLOCK_SQL + " SELECT credit_id, count(*) AS pairs, CAST(sum(days) AS BIGINT) AS days, CAST(sum(amount_minor) AS BIGINT) AS amounts FROM blocked GROUP BY credit_id")
@@ -120,11 +121,30 @@ def q07_blocked_pairs(spark, sf_dir):
     return pool.blocked_pairs(*both(spark, sf_dir)).groupBy("credit_id").agg(F.count("*").alias("pairs"), F.sum("days").cast("long").alias("days"), F.sum("amount_minor").alias("amounts"))
 
 
-@query()
+_WALK_SQL = _POOL_SQL + """,
+placed AS (
+    SELECT credit_id, settlement_id, amount_minor, credit_minor, n, row_number() OVER w AS pos, CAST(sum(amount_minor) OVER w AS BIGINT) AS upto
+    FROM ranked JOIN (SELECT credit_id FROM credits WHERE quiet) USING (credit_id) WHERE r <= 64 WINDOW w AS (PARTITION BY credit_id ORDER BY amount_minor DESC, settlement_id)),
+pools AS (SELECT credit_id, list(settlement_id ORDER BY pos) AS ids, list(upto ORDER BY pos) AS upto, CAST(count(*) AS INTEGER) AS size, max(n) > 64 AS truncated FROM placed GROUP BY credit_id),
+steps AS (SELECT credit_id, pos, amount_minor, upto - amount_minor AS before FROM placed),
+walk AS (
+    SELECT credit_id, amount_minor AS target, CAST(0 AS BIGINT) AS last, CAST(0 AS BIGINT) AS total, 0 AS depth, CAST([] AS BIGINT[]) AS path FROM credits WHERE quiet
+    UNION ALL
+    SELECT w.credit_id, target, pos, total + amount_minor, depth + 1, list_append(path, pos) FROM walk w JOIN steps USING (credit_id) JOIN pools p USING (credit_id)
+    WHERE pos > last AND depth < 8 AND total + amount_minor <= target + 100 AND total + p.upto[least(size, pos + 7 - depth)] - before >= target - 100),
+found AS (SELECT credit_id, target, path, total, abs(total - target) AS gap, dense_rank() OVER (PARTITION BY credit_id ORDER BY abs(total - target)) AS place FROM walk WHERE depth > 0 AND abs(total - target) <= 100),
+best AS (SELECT credit_id, min(path) FILTER (place = 1) AS path, min(gap) FILTER (place = 1) AS gap, min(gap) FILTER (place = 2) AS second, min(path) FILTER (place = 2) AS after, least(8, count(*) FILTER (place = 1)) AS rivals FROM found GROUP BY credit_id),
+nodes AS (SELECT credit_id, target, count(*) AS nodes FROM walk GROUP BY ALL)"""
+
+
+@query("WITH RECURSIVE " + _WALK_SQL + """ SELECT credit_id, CASE WHEN path IS NULL THEN 'UNMATCHED' WHEN rivals > 1 THEN 'TIE_AMBIGUOUS' ELSE 'MATCHED' END AS resolution,
+  coalesce(array_to_string(list_sort(list_transform(path, lambda i: ids[i])), ','), '') AS settlement_ids, coalesce(t.total, 0) AS net_minor, coalesce(t.total, 0) - target AS residual_minor, second - gap AS margin_minor,
+  CASE WHEN rivals > 1 THEN rivals ELSE 0 END AS rivals, coalesce(size, 0) AS pool_size, nodes AS subsets_examined, coalesce(truncated, false) AS truncated, array_to_string(list_sort(list_transform(after, lambda i: ids[i])), ',') AS runner_up
+FROM nodes LEFT JOIN pools USING (credit_id) LEFT JOIN best USING (credit_id) LEFT JOIN (SELECT credit_id, path, total FROM found) t USING (credit_id, path)""")
 def q08_subset_sum(spark, sf_dir):
     credit, settled = both(spark, sf_dir)
     quiet = views.silent(credit)
-    return solve_pools(pool.candidate_pool(quiet, settled), quiet).withColumns({"settlement_ids": joined("settlement_ids"), "rivals": F.size("rivals")})
+    return solve_pools(pool.candidate_pool(quiet, settled), quiet).withColumns({"settlement_ids": joined("settlement_ids"), "rivals": F.size("rivals"), "runner_up": joined("runner_up")})
 
 
 @query("""SELECT o_orderkey, CAST(round_even(greatest(0.05, least(0.95, CAST(0.90 - CASE WHEN o_orderkey % 3 <> 0 THEN 0.05 ELSE 0 END - CASE WHEN o_orderkey % 150 < 100 THEN 0.0025 * (100 - o_orderkey % 150) ELSE 0 END
@@ -136,7 +156,7 @@ def q09_stage2_confidence(spark, sf_dir):
 
 @query()
 def q10_tier1_cascade(spark, sf_dir):
-    return tier1(*both(spark, sf_dir)).withColumn("settlement_ids", joined("settlement_ids"))
+    return tier1(*both(spark, sf_dir)).withColumn("settlement_ids", joined("settlement_ids")).drop("evidence")
 
 
 _RATES_SQL = """rates AS (SELECT day, event_type, CAST(CAST(units AS DECIMAL(18,8)) * CAST(0.01 AS DECIMAL(4,2)) AS DECIMAL(18,8)) AS reference_rate
@@ -190,8 +210,8 @@ decomposed AS (
 
 
 def _decomposed(spark, sf_dir):
-    rows = views.settlement_rows(spark, sf_dir).where("type = 'payment'")
-    sums = rows.groupBy("order_key").agg(F.sum("amount_minor").alias("gross_minor"), F.sum("fee_minor").alias("fee_minor"))
+    rows = views.settlement_rows(spark, sf_dir)
+    sums = fx.settlement_sums(rows, "order_key").where("gross_minor > 0")
     k, gross = F.col("order_key"), F.col("gross_minor")
     share = F.round(F.col("fee_minor").cast("decimal(20,0)") * F.lit("0.18").cast("decimal(4,2)"), 0).cast("long")
     clean, abroad = gross - F.col("fee_minor") - share, k % 3 == 0
@@ -287,48 +307,47 @@ def q21_jaro_winkler(spark, sf_dir):
     return pairs.select("p_name", "kind", F.round(jaro_winkler(F.col("p_name"), F.col("kind")), 6).alias("similarity"))
 
 
-_COMPARED_SQL = _BLOCK_SQL + """,
-compared AS (
+_LEVELS_SQL = """compared AS (
     SELECT *, CASE WHEN credit_minor = amount_minor THEN 4 WHEN d < 0.005 THEN 3 WHEN d < 0.015 THEN 2 WHEN d < 0.03 THEN 1 ELSE 0 END AS amount_level,
            CASE WHEN days = 0 THEN 4 WHEN days <= 1 THEN 3 WHEN days <= 3 THEN 2 WHEN days <= 10 THEN 1 ELSE 0 END AS date_level,
            CASE WHEN credit_name = settlement_name THEN 4 WHEN j >= 0.92 THEN 3 WHEN j >= 0.88 THEN 2 WHEN j >= 0.70 THEN 1 ELSE 0 END AS name_level
-    FROM (SELECT *, abs(credit_minor - amount_minor) / greatest(credit_minor, amount_minor) AS d, jaro_winkler_similarity(credit_name, settlement_name) AS j FROM blocked WHERE quiet))"""
-
-
-def _named(spark, sf_dir):
-    credit, settled = both(spark, sf_dir)
-    quiet = views.silent(credit)
-    pairs = pool.blocked_pairs(quiet, settled).join(quiet.select("credit_id", "credit_name"), "credit_id")
-    return pairs.join(settled.select("settlement_id", "settlement_name"), "settlement_id")
+    FROM (SELECT *, abs(credit_minor - amount_minor) / greatest(credit_minor, amount_minor) AS d, jaro_winkler_similarity(credit_name, settlement_name) AS j FROM blocked))"""
+_COMPARED_SQL = _BLOCK_SQL + ", " + _LEVELS_SQL
 
 
 def _every_level(spark, sf_dir):
     """The levels of all blocked pairs, whatever their credits say."""
-    return linkage.compare(named_pairs(*both(spark, sf_dir))).select("credit_id", "settlement_id", "amount_level", "date_level", "name_level")
-
-
-def _deferred_scores(spark, sf_dir):
-    """Scores of the pairs of what stages 1 and 2 left open."""
-    credit, settled = both(spark, sf_dir)
-    decisions = tier1(credit, settled)
-    return linkage.posterior(linkage.compare(named_pairs(keep(deferred(credit, decisions)), open_settlements(settled, decisions))), MODEL)
+    return linkage.compare(named_pairs(*both(spark, sf_dir)))
 
 
 @query("WITH " + _COMPARED_SQL + " SELECT credit_id, settlement_id, amount_level, date_level, name_level FROM compared")
 def q22_comparison_levels(spark, sf_dir):
-    return linkage.compare(_named(spark, sf_dir)).select("credit_id", "settlement_id", "amount_level", "date_level", "name_level")
+    return _every_level(spark, sf_dir).select("credit_id", "settlement_id", "amount_level", "date_level", "name_level")
+
+
+def _share_sql(source: str) -> str:
+    return f"""(SELECT comparison, level, n / sum(n) OVER (PARTITION BY comparison) AS share FROM (SELECT comparison, level, count(*) AS n
+    FROM (UNPIVOT (SELECT amount_level AS amount, date_level AS "date", name_level AS name FROM {source}) ON amount, "date", name INTO NAME comparison VALUE level) GROUP BY ALL))"""
 
 
-@query("WITH " + _COMPARED_SQL + """, long AS (SELECT 'amount' AS comparison, amount_level AS level FROM compared UNION ALL SELECT 'date', date_level FROM compared UNION ALL SELECT 'name', name_level FROM compared)
-SELECT comparison, level, round(n / sum(n) OVER (PARTITION BY comparison), 6) AS share FROM (SELECT comparison, level, count(*) AS n FROM long GROUP BY ALL)""")
+@query("WITH " + _COMPARED_SQL + f" SELECT comparison, level, round(share, 6) AS share FROM {_share_sql('compared')}")
 def q23_level_shares(spark, sf_dir):
-    return linkage.level_shares(linkage.compare(_named(spark, sf_dir))).withColumn("share", F.round("share", 6))
+    return linkage.level_shares(_every_level(spark, sf_dir)).withColumn("share", F.round("share", 6))
 
 
-@query()
+# a level that training left out gets its share from the levels known before it, closest first
+@query("WITH " + _COMPARED_SQL + f""",
+grid AS (SELECT comparison, level FROM (VALUES ('amount'), ('date'), ('name')) c(comparison), unnest(range(0, 5)) l(level)),
+raw AS (SELECT comparison, level, m.share AS m, u.share AS u FROM grid LEFT JOIN {_share_sql("(SELECT * FROM compared WHERE substr(credit_id, 2) = substr(settlement_id, 2))")} m USING (comparison, level) LEFT JOIN {_share_sql("compared")} u USING (comparison, level)),
+filled AS (
+    SELECT comparison, level, u, CASE WHEN m IS NOT NULL THEN m WHEN u IS NULL THEN 1e-3::DOUBLE
+      WHEN above IS NOT NULL AND below IS NOT NULL THEN m_above ** ((level - below) / (above - below)) * m_below ** ((above - level) / (above - below)) ELSE u END AS m
+    FROM (SELECT r.*, (SELECT min(x.level) FROM raw x WHERE x.comparison = r.comparison AND x.level > r.level AND x.m IS NOT NULL) AS above, (SELECT max(x.level) FROM raw x WHERE x.comparison = r.comparison AND x.level < r.level AND x.m IS NOT NULL) AS below,
+          (SELECT min_by(x.m, x.level) FROM raw x WHERE x.comparison = r.comparison AND x.level > r.level AND x.m IS NOT NULL) AS m_above, (SELECT max_by(x.m, x.level) FROM raw x WHERE x.comparison = r.comparison AND x.level < r.level AND x.m IS NOT NULL) AS m_below FROM raw r))
+SELECT comparison, CAST(level AS INTEGER) AS level, round(m, 6) AS m, round(coalesce(u, m), 6) AS u FROM filled""")
 def q24_trained_model(spark, sf_dir):
     every = keep(_every_level(spark, sf_dir))
-    sure = every.where(F.substring("credit_id", 2, 10) == F.substring("settlement_id", 2, 10))
+    sure, _ = linkage.split_labelled(every, every.where(F.substring("credit_id", 2, 10) == F.substring("settlement_id", 2, 10)).select("credit_id", "settlement_id"))
     rows = [(c, level, round(m, 6), round(u, 6)) for c, levels in linkage.train(sure, every).items() for level, m, u in levels]
     return spark.createDataFrame(rows, "comparison string, level int, m double, u double")
 
@@ -336,8 +355,7 @@ def q24_trained_model(spark, sf_dir):
 _BF = {c: "CASE " + " ".join(f"WHEN {c}_level = {k} THEN {m}::DOUBLE / {u}::DOUBLE" for k, m, u in levels) + " ELSE 1.0 END" for c, levels in MODEL.items()}
 
 
-_SCORED_SQL = _COMPARED_SQL + f""",
-names AS (SELECT settlement_name, count(*) AS n FROM compared WHERE name_level = 4 GROUP BY settlement_name),
+_SCORED_SQL = f"""names AS (SELECT settlement_name, count(*) AS n FROM compared WHERE name_level = 4 GROUP BY settlement_name),
 scored AS (
     SELECT credit_id, settlement_id, odds / 1.0 AS odds, round(log2(odds / (1e-4::DOUBLE / (1 - 1e-4::DOUBLE))), 4) AS weight, round(odds / (1 + odds), 6) AS score
     FROM (SELECT credit_id, settlement_id, (1e-4::DOUBLE / (1 - 1e-4::DOUBLE)) * ({_BF["amount"]}) * ({_BF["date"]}) * ({_BF["name"]})
@@ -345,15 +363,37 @@ scored AS (
           FROM compared LEFT JOIN names USING (settlement_name)))"""
 
 
-@query("WITH " + _SCORED_SQL + " SELECT credit_id, settlement_id, weight, score FROM scored")
+@query("WITH " + _COMPARED_SQL + ", " + _SCORED_SQL + " SELECT credit_id, settlement_id, weight, score FROM scored")
 def q25_posterior(spark, sf_dir):
-    return linkage.posterior(linkage.compare(_named(spark, sf_dir)), MODEL).select("credit_id", "settlement_id", "weight", "score")
+    return linkage.posterior(keep(_every_level(spark, sf_dir)), MODEL).select("credit_id", "settlement_id", "weight", "score")
 
 
-@query()
+def _after_stage1(spark, sf_dir):
+    """Scores of the pairs of what stage 1 left open."""
+    credit, settled = both(spark, sf_dir)
+    decisions = keep(match_by_reference(credit, settled, keep=keep))
+    opened = decisions.where(F.col("resolution").isin(*evaluate.ASSERTED)).select(F.col("bank_txn_id").alias("credit_id"))
+    waiting = credit.join(opened, "credit_id", "left_anti")
+    return decisions, linkage.posterior(keep(linkage.compare(named_pairs(waiting, open_settlements(settled, decisions)))), MODEL)
+
+
+_OPEN_SQL = STAGE1_SQL + """,
+sure AS (SELECT * FROM stage1 WHERE resolution IN ('MATCHED', 'PARTIAL')),
+waiting AS (SELECT * FROM credits WHERE credit_id NOT IN (SELECT bank_txn_id FROM sure)),
+opened AS (SELECT * FROM settlements WHERE settlement_id NOT IN (SELECT unnest(settlement_ids) FROM sure)), """ + ", ".join((_blocked_sql("waiting", "opened"), _LEVELS_SQL, _SCORED_SQL))
+_WON = "rk = min(rk) OVER (PARTITION BY credit_id) AND rk = min(rk) OVER (PARTITION BY settlement_id)"
+# pairs that are best for both their ends are claimed, and go with all pairs of these ends; then again
+_CLAIMS_SQL = _OPEN_SQL + f""",
+rounds AS (
+    SELECT *, {_WON} AS won FROM (SELECT credit_id, settlement_id, score, row_number() OVER (ORDER BY score DESC, credit_id, settlement_id) AS rk FROM scored WHERE score >= 0.25)
+    UNION ALL
+    SELECT credit_id, settlement_id, score, rk, {_WON} FROM (SELECT *, bool_or(won) OVER (PARTITION BY credit_id) OR bool_or(won) OVER (PARTITION BY settlement_id) AS gone FROM rounds) WHERE NOT gone),
+claims AS (SELECT credit_id, settlement_id, score FROM rounds WHERE won)"""
+
+
+@query("WITH RECURSIVE " + _CLAIMS_SQL + " SELECT credit_id, settlement_id, score FROM claims")
 def q26_greedy_claim(spark, sf_dir):
-    scored = _deferred_scores(spark, sf_dir)
-    return greedy_claim(scored.where(F.col("score") >= linkage.THRESHOLD), keep=keep).select("credit_id", "settlement_id", "score")
+    return linkage.link(_after_stage1(spark, sf_dir)[1], keep=keep).select("credit_id", "settlement_id", "score")
 
 
 def _tfidf_sql(grams: str, source: str) -> str:
@@ -413,11 +453,21 @@ def q31_two_gates(spark, sf_dir):
     return _fused(spark, sf_dir).groupBy("query_id").agg(F.count_if("accepted").alias("accepted"), F.max("rrf").alias("best"))
 
 
-@query("WITH " + STAGE1_SQL + " SELECT bank_txn_id, CASE WHEN resolution <> 'MATCHED' AND credit_minor % 2 = 0 THEN 'MATCHED' ELSE resolution END AS resolution FROM stage1")
+def _overlaid(spark, sf_dir):
+    """The results of stage 1, and those with what linkage claims of the rest laid over them."""
+    first, scored = _after_stage1(spark, sf_dir)
+    won = linkage.link(scored, keep=keep).select(F.col("credit_id").alias("bank_txn_id"), F.lit("MATCHED").alias("resolution"), F.array("settlement_id").alias("settlement_ids"), F.col("score").cast("decimal(4,2)").alias("confidence"))
+    first = first.select(*won.columns)
+    return first, evaluate.overlay(first, won)
+
+
+_OVERLAID_SQL = _CLAIMS_SQL + """,
+overlaid AS (SELECT bank_txn_id, resolution, settlement_ids FROM stage1 WHERE bank_txn_id NOT IN (SELECT credit_id FROM claims) UNION ALL SELECT credit_id, 'MATCHED', [settlement_id] FROM claims)"""
+
+
+@query("WITH RECURSIVE " + _OVERLAID_SQL + " SELECT bank_txn_id, resolution, array_to_string(list_sort(settlement_ids), ',') AS settlement_ids FROM overlaid")
 def q32_overlay(spark, sf_dir):
-    first = stage1(spark, sf_dir).select("bank_txn_id", "resolution", "credit_minor")
-    later = first.where("resolution <> 'MATCHED'").withColumn("resolution", F.when(F.col("credit_minor") % 2 == 0, "MATCHED").otherwise("UNMATCHED"))
-    return evaluate.overlay(first, later).select("bank_txn_id", "resolution")
+    return _overlaid(spark, sf_dir)[1].select("bank_txn_id", "resolution", joined("settlement_ids"))
 
 
 @query("WITH " + CLASSIFIED_SQL + " SELECT bank_txn_id, defect_class, verdict FROM classified")
@@ -430,7 +480,8 @@ _COUNTS = "count_if(linked) AS true_link, count_if(asserted) AS asserted, count_
 
 @query("WITH " + CLASSIFIED_SQL + f""", m AS (SELECT CASE WHEN grouping(defect_class) = 1 THEN '(all)' ELSE defect_class END AS defect_class, count(*) AS total, {_COUNTS}, count_if(verdict = 'correct' AND asserted) AS good FROM classified GROUP BY ROLLUP (defect_class))
 SELECT defect_class, total, true_link, asserted, correct, false_match, false_clear, tie_ambiguous, round(false_match / total, 6) AS false_match_rate, CASE WHEN true_link > 0 THEN round(false_clear / true_link, 6) ELSE 0 END AS false_clear_rate,
-  CASE WHEN true_link > 0 THEN round(tie_ambiguous / true_link, 6) ELSE 0 END AS tie_rate, CASE WHEN asserted > 0 THEN round(good / asserted, 6) END AS "precision", CASE WHEN true_link > 0 THEN round(good / true_link, 6) END AS recall FROM m""")
+  CASE WHEN true_link > 0 THEN round(tie_ambiguous / true_link, 6) ELSE 0 END AS tie_rate, CASE WHEN asserted > 0 THEN round(correct / asserted, 6) END AS "precision", CASE WHEN true_link > 0 THEN round(correct / true_link, 6) END AS recall, round(correct / total, 6) AS match_rate,
+  CASE WHEN asserted > 0 THEN round(good / asserted, 6) END AS link_precision, CASE WHEN true_link > 0 THEN round(good / true_link, 6) END AS link_recall FROM m""")
 def q34_metrics(spark, sf_dir):
     return evaluate.metrics(classified(spark, sf_dir))
 
@@ -442,10 +493,10 @@ def q35_threshold_sweep(spark, sf_dir):
     return evaluate.threshold_sweep(match_by_reference(credit, settled), views.truth(settled))
 
 
-@query()
+@query("WITH " + CLASSIFIED_SQL + """, spoiled AS (SELECT percent, verdict, asserted AND verdict = 'correct' AND CAST('0x' || substr(md5(bank_txn_id), 1, 8) AS BIGINT) % 100 < percent AS mutated FROM classified, (VALUES (0), (5), (20), (50)) p(percent))
+SELECT percent, count_if(mutated) AS mutated, count(*) AS total, count_if(mutated OR verdict = 'false_match') AS false_match, round(count_if(mutated OR verdict = 'false_match') / count(*), 6) AS false_match_rate FROM spoiled GROUP BY percent""")
 def q36_mutation_sweep(spark, sf_dir):
-    credit, settled = both(spark, sf_dir)
-    return evaluate.mutation_sweep(match_by_reference(credit, settled), views.truth(settled))
+    return evaluate.mutation_sweep(keep(stage1(spark, sf_dir)), views.truth(views.settlements(spark, sf_dir)))
 
 
 @query("WITH " + STAGE1_SQL + " SELECT resolution, count(*) AS n, count_if(resolution IN ('UNMATCHED', 'AMBIGUOUS', 'TIE_AMBIGUOUS')) AS rejected FROM stage1 JOIN truth USING (bank_txn_id) WHERE true_resolution IS NULL GROUP BY resolution")
@@ -461,15 +512,15 @@ def q38_attribution_breakdown(spark, sf_dir):
 
 
 def _decisions(spark, sf_dir):
-    return stage1(spark, sf_dir).withColumn("stage", F.lit("deterministic"))
+    return stage1(spark, sf_dir).withColumn("stage", F.lit("deterministic")).withColumn("evidence", evidence(field=F.col("field"), net_minor=F.col("net_minor")))
 
 
 _POSTED_SQL = STAGE1_SQL + """,
 ledger AS (SELECT substr(sha256(concat_ws(chr(0), bank_txn_id, 'deterministic', resolution, array_to_string(settlement_ids, ','))), 1, 32) AS transfer_id, bank_txn_id, 1 AS debit_account,
-    CASE WHEN resolution IN ('MATCHED', 'PARTIAL') THEN 2 ELSE 3 END AS credit_account, credit_minor AS amount_minor, 1 AS stage_code, CAST(round_even(confidence * 10000, 0) AS INTEGER) AS confidence_bp FROM stage1)"""
+    CASE WHEN resolution IN ('MATCHED', 'PARTIAL') THEN 2 ELSE 3 END AS credit_account, credit_minor AS amount_minor, 1 AS stage_code, CAST(round_even(confidence * 10000, 0) AS INTEGER) AS confidence_bp, substr(sha256(array_to_string(settlement_ids, ',')), 1, 16) AS settlements_digest FROM stage1)"""
 
 
-@query("WITH " + _POSTED_SQL + " SELECT transfer_id, bank_txn_id, debit_account, credit_account, amount_minor, stage_code, confidence_bp FROM ledger")
+@query("WITH " + _POSTED_SQL + " SELECT transfer_id, bank_txn_id, debit_account, credit_account, amount_minor, stage_code, confidence_bp, settlements_digest FROM ledger")
 def q39_postings(spark, sf_dir):
     return ledger.postings(_decisions(spark, sf_dir)).drop("evidence_digest")
 
@@ -492,34 +543,43 @@ def q42_sequence_breaks(spark, sf_dir):
     return ledger.sequence_breaks(rows, "event_id", "sequence", "user_id")
 
 
-@query("WITH " + STAGE1_SQL + " SELECT bank_txn_id, substr(sha256(concat_ws(chr(0), 'deterministic', resolution, reason, printf('%.4f', CAST(confidence AS DOUBLE)), array_to_string(settlement_ids, ','))), 1, 32) AS evidence_digest, CAST(round_even(confidence * 10000, 0) AS INTEGER) AS confidence_bp FROM stage1")
+@query("WITH " + STAGE1_SQL + " SELECT bank_txn_id, substr(sha256(concat_ws(chr(0), 'deterministic', resolution, reason, printf('%.4f', CAST(confidence AS DOUBLE)), array_to_string(settlement_ids, ','), 'field=' || field || '|net_minor=' || coalesce(CAST(net_minor AS VARCHAR), ''))), 1, 32) AS evidence_digest, CAST(round_even(confidence * 10000, 0) AS INTEGER) AS confidence_bp FROM stage1")
 def q43_digests(spark, sf_dir):
     rows = _decisions(spark, sf_dir)
     return ledger.postings(rows).select("bank_txn_id", "evidence_digest").join(rows.select("bank_txn_id", basis_points(F.col("confidence")).alias("confidence_bp")), "bank_txn_id")
 
 
-@query("WITH " + CLASSIFIED_SQL + """, a AS (SELECT coalesce(defect_class, '(all)') AS defect_class, count_if(verdict = 'correct') AS c, count_if(verdict = 'false_match') AS m, count_if(verdict = 'false_clear') AS f FROM classified GROUP BY ROLLUP (defect_class)),
-b AS (SELECT coalesce(defect_class, '(all)') AS defect_class, count_if(verdict = 'correct' OR defect_class = 'silent') AS c, count_if(verdict = 'false_match' AND defect_class <> 'silent') AS m, count_if(verdict = 'false_clear' AND defect_class <> 'silent') AS f FROM classified GROUP BY ROLLUP (defect_class))
+_VERDICT = "CASE WHEN NOT asserted AND NOT linked THEN 'correct' WHEN NOT asserted AND got = 'TIE_AMBIGUOUS' THEN 'tie_ambiguous' WHEN NOT asserted THEN 'false_clear' WHEN NOT linked THEN 'false_match' WHEN list_sort(got_ids) = list_sort(true_ids) AND got = true_resolution THEN 'correct' ELSE 'false_match' END"
+
+
+def _tally_sql(name: str, results: str) -> str:
+    return f"""{name} AS (SELECT coalesce(defect_class, '(all)') AS defect_class, count_if(verdict = 'correct') AS c, count_if(verdict = 'false_match') AS m, count_if(verdict = 'false_clear') AS f FROM (
+    SELECT defect_class, {_VERDICT} AS verdict FROM (SELECT t.*, resolution AS got, settlement_ids AS got_ids, coalesce(resolution IN ('MATCHED', 'PARTIAL'), false) AS asserted, coalesce(true_resolution IN ('MATCHED', 'PARTIAL'), false) AS linked FROM truth t LEFT JOIN {results} USING (bank_txn_id))) GROUP BY ROLLUP (defect_class))"""
+
+
+@query("WITH RECURSIVE " + _OVERLAID_SQL + f""", {_tally_sql("a", "stage1")}, {_tally_sql("b", "overlaid")}
 SELECT defect_class, a.c AS correct_before, a.m AS false_match_before, a.f AS false_clear_before, b.c AS correct_after, b.m AS false_match_after, b.f AS false_clear_after, b.c - a.c AS correct_delta, b.m - a.m AS false_match_delta, b.f - a.f AS false_clear_delta FROM a JOIN b USING (defect_class)""")
 def q44_tier_delta(spark, sf_dir):
-    credit, settled = both(spark, sf_dir)
-    first, truth = match_by_reference(credit, settled), views.truth(settled)
-    found = views.silent(credit).select(F.col("credit_id").alias("bank_txn_id"), F.lit("MATCHED").alias("resolution"), F.array(views.padded("S", F.col("order_key"), 10)).alias("settlement_ids"), F.lit("0.90").cast("decimal(4,2)").alias("confidence"))
-    second = evaluate.overlay(first.select(*found.columns), found)
+    first, second = _overlaid(spark, sf_dir)
+    truth = views.truth(views.settlements(spark, sf_dir))
     return evaluate.tier_delta(evaluate.metrics(evaluate.classify(first, truth)), evaluate.metrics(evaluate.classify(second, truth)))
 
 
+#: Years by which wires are moved on, for :32A: has two digits of a year.
+_YEARS_ON = 20
+
+
 def _wires(settled: DataFrame) -> DataFrame:
     cents = F.concat(F.floor(F.col("amount_minor") / 100).cast("string"), F.lit(","), F.lpad((F.col("amount_minor") % 100).cast("string"), 2, "0"))
     block = F.concat(
-        F.lit("{1:F01}{4:\n:20:FT"), F.lpad(F.col("order_key").cast("string"), 12, "0"), F.lit("\n:32A:"), F.date_format("settled_at", "yyMMdd"), F.lit("INR"), cents, F.lit("\n:33B:USD"), cents, F.lit("\n:36:1,0000\n:50K:/ACCT\n"),
+        F.lit("{1:F01}{4:\n:20:FT"), F.lpad(F.col("order_key").cast("string"), 12, "0"), F.lit("\n:32A:"), F.date_format(F.add_months("settled_at", 12 * _YEARS_ON), "yyMMdd"), F.lit("INR"), cents, F.lit("\n:33B:USD"), cents, F.lit("\n:36:1,0000\n:50K:/ACCT\n"),
         F.col("settlement_name"), F.lit("\nSOME STREET\n:70:"), F.col("utr"), F.lit("-PAY\nMENT\n:72:/ACC/PURPOSE CODE P0802\n-}"),
     )
-    return settled.where("amount_minor > 0 and year(settled_at) >= 2000").select(F.explode(mt103_messages(F.concat(block, F.lit("\n$\n")))).alias("message"))
+    return settled.where("amount_minor > 0").select(F.explode(mt103_messages(F.concat(block, F.lit("\n$\n")))).alias("message"))
 
 
-@query("WITH " + SETTLEMENTS_SQL + """ SELECT 'FT' || lpad(CAST(order_key AS VARCHAR), 12, '0') AS record_id, settlement_name || ' SOME STREET' AS counterparty_name, utr || '-PAYMENT' AS narration, amount_minor, 'INR' AS currency, settled_at AS value_date,
-  amount_minor AS foreign_amount_minor, 'USD' AS foreign_currency, 'P0802' AS purpose_code FROM settlements WHERE amount_minor > 0 AND year(settled_at) >= 2000""")
+@query("WITH " + SETTLEMENTS_SQL + """ SELECT 'FT' || lpad(CAST(order_key AS VARCHAR), 12, '0') AS record_id, settlement_name || ' SOME STREET' AS counterparty_name, utr || '-PAYMENT' AS narration, amount_minor, 'INR' AS currency, CAST(settled_at + INTERVAL 20 YEAR AS DATE) AS value_date,
+  amount_minor AS foreign_amount_minor, 'USD' AS foreign_currency, 'P0802' AS purpose_code FROM settlements WHERE amount_minor > 0""")
 def q45_mt103(spark, sf_dir):
     return parse_mt103(_wires(views.settlements(spark, sf_dir))).select("record_id", "counterparty_name", "narration", "amount_minor", "currency", "value_date", "foreign_amount_minor", "foreign_currency", "purpose_code")
 
@@ -540,17 +600,17 @@ def q47_explain(spark, sf_dir):
     return explain.explain(_decisions(spark, sf_dir))
 
 
-@query("WITH " + SETTLEMENTS_SQL + " SELECT 'FT' || lpad(CAST(order_key AS VARCHAR), 12, '0') AS end_to_end_id, settlement_id, true AS agrees FROM settlements WHERE amount_minor > 0 AND year(settled_at) >= 2000")
+@query("WITH " + SETTLEMENTS_SQL + " SELECT 'FT' || lpad(CAST(order_key AS VARCHAR), 12, '0') AS end_to_end_id, settlement_id, true AS agrees FROM settlements WHERE amount_minor > 0")
 def q48_cross_format(spark, sf_dir):
     settled = views.settlements(spark, sf_dir)
-    other = settled.select(F.concat(F.lit("FT"), F.lpad(F.col("order_key").cast("string"), 12, "0")).alias("end_to_end_id"), "settlement_id", F.col("amount_minor").alias("other_minor"), F.col("settled_at").alias("other_date"))
+    other = settled.select(F.concat(F.lit("FT"), F.lpad(F.col("order_key").cast("string"), 12, "0")).alias("end_to_end_id"), "settlement_id", F.col("amount_minor").alias("other_minor"), F.add_months("settled_at", 12 * _YEARS_ON).alias("other_date"))
     wire = parse_mt103(_wires(settled)).select("end_to_end_id", "amount_minor", "value_date")
     return wire.join(other, "end_to_end_id").select("end_to_end_id", "settlement_id", ((F.col("amount_minor") == F.col("other_minor")) & (F.col("value_date") == F.col("other_date"))).alias("agrees"))
 
 
 @query()
 def q49_reconcile(spark, sf_dir):
-    return reconcile(*both(spark, sf_dir), model=MODEL).withColumn("settlement_ids", joined("settlement_ids"))
+    return reconcile(*both(spark, sf_dir), model=MODEL).withColumn("settlement_ids", joined("settlement_ids")).drop("evidence")
 
 
 @query()
@@ -560,20 +620,108 @@ def q50_latent_vectors(spark, sf_dir):
     return vectors.select("doc_id", F.round(ranking.dot(F.col("vector"), F.col("vector")), 4).alias("square"))
 
 
-# q22, q23 and q25 have the credits that their SQL has; these have all that stage 3 gets.
-@query()
-def q51_all_comparison_levels(spark, sf_dir):
-    return _every_level(spark, sf_dir)
+@query("WITH " + STAGE1_SQL + """, bundles AS (SELECT bank_txn_id, true_ids, ['S' || lpad(CAST(CAST(substr(bank_txn_id, 2) AS BIGINT) + 1 AS VARCHAR), 10, '0')] AS wrong FROM truth WHERE CAST(substr(bank_txn_id, 2) AS BIGINT) % 3 = 0)
+SELECT bank_txn_id, true_ids[1] AS true_ids, wrong[1] AS wrong_ids, 'correct' AS verdict_before, 'false_match' AS verdict_after FROM bundles JOIN truth t USING (bank_txn_id, true_ids) JOIN stage1 s USING (bank_txn_id) WHERE s.resolution = t.true_resolution AND s.settlement_ids = true_ids""")
+def q51_decoys(spark, sf_dir):
+    truth = views.truth(views.settlements(spark, sf_dir))
+    key = F.substring("bank_txn_id", 2, 10).cast("long")
+    decoys = truth.where(key % 3 == 0).select("bank_txn_id", F.array(views.padded("S", key + 1, 10)).alias("decoy_ids"))
+    return evaluate.mutate_bundles(keep(stage1(spark, sf_dir)), truth, decoys).withColumns({"true_ids": joined("true_ids"), "wrong_ids": joined("wrong_ids")})
 
 
-@query()
-def q52_all_level_shares(spark, sf_dir):
-    return linkage.level_shares(_every_level(spark, sf_dir)).withColumn("share", F.round("share", 6))
+def _true_links(spark, sf_dir):
+    return views.truth(views.settlements(spark, sf_dir)).select(F.col("bank_txn_id").alias("credit_id"), "defect_class", F.element_at("true_ids", 1).alias("true_id"))
+
 
+_GRADED_SQL = _CLAIMS_SQL + """,
+links AS (SELECT bank_txn_id AS credit_id, defect_class, true_ids[1] AS true_id FROM truth),
+tops AS (SELECT credit_id, settlement_id, score, row_number() OVER (PARTITION BY credit_id ORDER BY score DESC, settlement_id) AS place FROM scored)"""
 
+
+@query("WITH RECURSIVE " + _GRADED_SQL + """ SELECT coalesce(defect_class, '(all)') AS defect_class, count(*) AS total, count_if(c.settlement_id = true_id) AS correct, count_if(c.settlement_id <> true_id) AS wrong, count_if(c.settlement_id IS NULL) AS deferred
+FROM (SELECT * FROM tops WHERE place = 1) t JOIN links USING (credit_id) LEFT JOIN claims c USING (credit_id) GROUP BY ROLLUP (defect_class)""")
+def q52_grades(spark, sf_dir):
+    scored = keep(_after_stage1(spark, sf_dir)[1])
+    return grading.grade(keep(grading.propose(scored, linkage.THRESHOLD, keep)), _true_links(spark, sf_dir))
+
+
+# stage 3 as the whole cascade has it, on what the first two stages leave open
 @query()
 def q53_deferred_posterior(spark, sf_dir):
-    return _deferred_scores(spark, sf_dir).select("credit_id", "settlement_id", "weight", "score")
+    credit, settled = both(spark, sf_dir)
+    decisions = tier1(credit, settled)
+    waiting = keep(deferred(credit, decisions))
+    return linkage.posterior(keep(linkage.compare(named_pairs(waiting, open_settlements(settled, decisions)))), MODEL).select("credit_id", "settlement_id", "weight", "score")
+
+
+@query("WITH RECURSIVE " + _GRADED_SQL + """ SELECT coalesce(defect_class, '(all)') AS defect_class, count(*) AS total, count_if(settlement_id = true_id) AS ranked_first, count_if(settlement_id <> true_id) AS wrong_if_accepted
+FROM tops JOIN links USING (credit_id) WHERE place = 1 GROUP BY ROLLUP (defect_class)""")
+def q54_grade_ranking(spark, sf_dir):
+    return grading.grade_ranking(keep(_after_stage1(spark, sf_dir)[1]), _true_links(spark, sf_dir))
+
+
+@query("WITH RECURSIVE " + _GRADED_SQL + """, s AS (SELECT score, settlement_id = true_id AS positive FROM scored JOIN links USING (credit_id)), p AS (SELECT positive, count(*) AS n, min(score) AS least, round(avg(score), 6) AS mean, max(score) AS most FROM s GROUP BY positive),
+e AS (SELECT a.n AS positive_n, a.least AS positive_least, a.mean AS positive_mean, a.most AS positive_most, b.n AS negative_n, b.least AS negative_least, b.mean AS negative_mean, b.most AS negative_most FROM p a, p b WHERE a.positive AND NOT b.positive)
+SELECT e.*, positive_min, coalesce(round((negative_most + positive_min) / 2, 6), negative_most + 1e-6::DOUBLE) AS threshold, (SELECT count(*) FROM s WHERE positive AND score < negative_most) AS positives_below, (SELECT count(*) FROM s WHERE NOT positive AND score > positive_least) AS negatives_above
+FROM e, (SELECT min(score) AS positive_min FROM s, e WHERE positive AND score > negative_most)""")
+def q55_threshold(spark, sf_dir):
+    scored = keep(_after_stage1(spark, sf_dir)[1]).join(_true_links(spark, sf_dir), "credit_id").withColumn("positive", F.col("settlement_id") == F.col("true_id"))
+    return grading.derive_threshold(keep(scored))
+
+
+@query("WITH RECURSIVE " + _GRADED_SQL + " SELECT credit_id, settlement_id, CAST(place AS INTEGER) AS rank FROM claims JOIN tops USING (credit_id, settlement_id)")
+def q56_rank_of_accepted(spark, sf_dir):
+    scored = keep(_after_stage1(spark, sf_dir)[1])
+    return grading.rank_of_accepted(scored, linkage.link(scored, keep=keep))
+
+
+@query("WITH " + _POSTED_SQL + """, kept AS (SELECT * FROM ledger WHERE amount_minor % 13 <> 0), moved AS (SELECT CAST(coalesce(sum(amount_minor), 0) AS BIGINT) AS a, CAST(coalesce(sum(amount_minor) FILTER (amount_minor % 17 <> 0), 0) AS BIGINT) AS b FROM kept)
+SELECT transfer_id, 'missing' AS error FROM ledger WHERE amount_minor % 13 = 0 UNION ALL SELECT transfer_id, 'credit_account differs' FROM kept WHERE amount_minor % 17 = 0
+UNION ALL SELECT NULL, 'out of balance: ' || a || ' left suspense, ' || b || ' arrived' FROM moved WHERE a <> b""")
+def q57_verify_log(spark, sf_dir):
+    posted = keep(ledger.postings(_decisions(spark, sf_dir)))
+    written = posted.where(F.col("amount_minor") % 13 != 0).withColumn("credit_account", F.when(F.col("amount_minor") % 17 == 0, 9).otherwise(F.col("credit_account")))
+    return ledger.verify_log(posted, keep(ledger.sequenced(written)))
+
+
+@query("WITH " + _VARIANCE_SQL + " SELECT CAST(k AS VARCHAR) AS record_id, attribution AS category, CAST(expected AS VARCHAR) AS expected, CAST(residual AS VARCHAR) AS residual, array_to_string(list_transform(found, lambda c: 'candidate cause: ' || c), '; ') AS facts FROM decomposed")
+def q58_variance_verdicts(spark, sf_dir):
+    found = explain.verdicts_of_variances(_decomposed(spark, sf_dir), "order_key")
+    return found.select("record_id", "category", F.col("amounts")["expected_minor"].alias("expected"), F.col("amounts")["residual_minor"].alias("residual"), F.array_join("facts", "; ").alias("facts"))
+
+
+_FILES_SQL = STAGE1_SQL + """
+SELECT s.bank_txn_id, s.resolution, array_to_string(list_sort(s.settlement_ids), ',') AS settlement_ids, s.credit_minor, s.net_minor, s.confidence, CASE WHEN len(s.settlement_ids) = 1 THEN x.settlement_name END AS settlement_name
+FROM stage1 s LEFT JOIN settlements x ON x.settlement_id = s.settlement_ids[1] WHERE s.credit_minor > 0"""
+
+
+@query("WITH " + _FILES_SQL)
+def q59_files_to_decisions(spark, sf_dir):
+    """Feeds written as files, read again, and matched; half the invoices are found by their order only."""
+    from ..sources import bank, csv_feeds, writers
+
+    credit, settled = both(spark, sf_dir)
+    path, k = writers.scratch(spark, "feeds"), F.col("order_key")
+    rows = views.settlement_rows(spark, sf_dir).join(settled.select("order_key", "settlement_id", "currency", "settled_at", "utr", "invoice_id"), "order_key")
+    paid, money = F.col("type") == "payment", writers.minor_text
+    net = F.col("amount_minor") - F.col("fee_minor") - F.col("tax_minor")
+    export = {
+        "entity_id": F.concat_ws("-", k, "line"), "type": F.col("type"), "debit": F.when(paid, "0.00").otherwise(money(F.col("amount_minor"))), "credit": F.when(paid, money(net)).otherwise("0.00"),
+        "amount": money(F.col("amount_minor")), "currency": F.col("currency"), "fee": money(F.col("fee_minor")), "tax": money(F.col("tax_minor")), "on_hold": F.lit("N"), "settled": F.lit("Y"),
+        "created_at": F.col("settled_at"), "settled_at": F.col("settled_at"), "settlement_id": F.col("settlement_id"), "settlement_utr": F.col("utr"), "description": F.lit("payout"), "notes": F.lit(""),
+        "payment_id": F.concat_ws("-", k, "line"), "order_id": views.padded("ORD-", k, 8), "order_receipt": F.col("invoice_id"), "method": F.lit("card"), "international": F.lit("N"), "conversion_rate": F.lit(""),
+        "base_amount": money(F.col("amount_minor")), "base_currency": F.col("currency"), "refund_id": F.lit(""),
+    }
+    writers.write_csv(rows.select(*[export[c].cast("string").alias(c) for c in csv_feeds.SETTLEMENT_COLUMNS]), f"{path}/settlements")
+    bill = {"invoice_id": F.when(k % 2 == 0, F.col("invoice_id")).otherwise(F.concat(F.lit("OLD-"), "invoice_id")), "invoice_date": F.col("settled_at"), "order_id": views.padded("ORD-", k, 8), "customer_name": F.col("settlement_name"), "invoice_amount": F.lit("1.00"), "currency": F.col("currency"), "realised_amount": F.lit("")}
+    writers.write_csv(settled.select(*[bill.get(c, F.lit("")).cast("string").alias(c) for c in csv_feeds.INVOICE_COLUMNS]), f"{path}/invoices")
+    told = credit.where("amount_minor > 0").select(F.col("credit_id").alias("record_id"), F.col("credit_name").alias("counterparty_name"), "narration", "amount_minor", "currency", "booking_date", "value_date", F.lit(None).cast("string").alias("end_to_end_id"))
+    writers.write_camt(told, f"{path}/statement")
+    records = csv_feeds.settlements_of(csv_feeds.read_settlement_rows(spark, f"{path}/settlements"))
+    known = keep(names.matcher_settlements(records, csv_feeds.read_invoices(spark, f"{path}/invoices")).withColumn("order_id", F.lit(None).cast("string")).withColumn("payment_id", F.lit(None).cast("string")))
+    found = match_by_reference(names.matcher_credits(bank.read_camt(spark, f"{path}/statement")), known, keep=keep)
+    named = found.withColumn("one", F.when(F.size("settlement_ids") == 1, F.element_at("settlement_ids", 1))).join(known.select(F.col("settlement_id").alias("one"), "settlement_name"), "one", "left")
+    return named.select("bank_txn_id", "resolution", joined("settlement_ids"), "credit_minor", "net_minor", "confidence", "settlement_name")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

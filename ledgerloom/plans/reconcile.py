@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import char_ngrams, jaro_winkler, word_ngrams
 from ..operators import linkage, ranking
 from ..operators.evaluate import ASSERTED
+from ..operators.grading import derive_threshold
 from ..operators.pool import blocked_pairs
 from ..operators.reference_match import match_by_reference
 from ..operators.subset_sum import match_subsets, stage2_confidence
 
-DECISION = ("bank_txn_id", "stage", "resolution", "settlement_ids", "credit_minor", "net_minor", "residual_minor", "confidence", "reason")
+DECISION = ("bank_txn_id", "stage", "resolution", "settlement_ids", "credit_minor", "net_minor", "residual_minor", "confidence", "reason", "evidence")
+
+
+def evidence(**values: Column) -> Column:
+    """What a decision rests on, as a map of names to text."""
+    return F.create_map(*[x for name, value in values.items() for x in (F.lit(name), value.cast("string"))])
 
 
 def keep(frame: DataFrame) -> DataFrame:
@@ -34,7 +40,8 @@ def open_settlements(settlements: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def tier1(credits: DataFrame, settlements: DataFrame, **limits) -> DataFrame:
     """Stages 1 and 2 for every credit (columns ``DECISION``)."""
-    first = keep(match_by_reference(credits, settlements).withColumn("stage", F.lit("deterministic")).select(*DECISION))
+    found = match_by_reference(credits, settlements, keep=keep).withColumn("stage", F.lit("deterministic"))
+    first = keep(found.withColumn("evidence", evidence(field=F.col("field"), rivals=F.when(F.col("resolution") == "AMBIGUOUS", F.array_join("settlement_ids", ",")))).select(*DECISION))
     waiting = credits.join(first.select(F.col("bank_txn_id").alias("credit_id")), "credit_id", "left_anti")
     found = match_subsets(waiting, keep(open_settlements(settlements, first)), keep=keep, **limits)
     trust = F.when(F.col("resolution") == "MATCHED", stage2_confidence(F.col("residual_minor"), F.col("margin_minor"), F.size("settlement_ids"), F.col("truncated"))).when(F.col("resolution") == "TIE_AMBIGUOUS", F.lit("0.20").cast("decimal(4,2)")).otherwise(F.lit("0.00").cast("decimal(4,2)"))
@@ -42,12 +49,19 @@ def tier1(credits: DataFrame, settlements: DataFrame, **limits) -> DataFrame:
     second = found.select(
         F.col("credit_id").alias("bank_txn_id"), F.lit("subset_sum").alias("stage"), "resolution", "settlement_ids", (F.col("net_minor") - F.col("residual_minor")).alias("credit_minor"),
         "net_minor", "residual_minor", trust.alias("confidence"), reason.alias("reason"),
+        evidence(
+            pool_size=F.col("pool_size"), subsets_examined=F.col("subsets_examined"), truncated=F.col("truncated"), margin_minor=F.col("margin_minor"), runner_up=F.array_join("runner_up", ","),
+            rivals=F.nullif(F.array_join(F.transform("rivals", lambda r: F.array_join(r, ",")), ";"), F.lit("")),
+        ).alias("evidence"),
     )
     return keep(first.unionByName(second))
 
 
-def _later(won: DataFrame, stage: str, score: str, reason: str) -> DataFrame:
-    return won.select(F.col("credit_id").alias("bank_txn_id"), F.lit(stage).alias("stage"), F.lit("MATCHED").alias("resolution"), F.array("settlement_id").alias("settlement_ids"), "credit_minor", F.col("amount_minor").alias("net_minor"), (F.col("amount_minor") - F.col("credit_minor")).alias("residual_minor"), F.col(score).cast("decimal(4,2)").alias("confidence"), F.lit(reason).alias("reason"))
+def _later(won: DataFrame, stage: str, score: str, reason: str, why: Column) -> DataFrame:
+    return won.select(
+        F.col("credit_id").alias("bank_txn_id"), F.lit(stage).alias("stage"), F.lit("MATCHED").alias("resolution"), F.array("settlement_id").alias("settlement_ids"), "credit_minor", F.col("amount_minor").alias("net_minor"),
+        (F.col("amount_minor") - F.col("credit_minor")).alias("residual_minor"), F.col(score).cast("decimal(4,2)").alias("confidence"), F.lit(reason).alias("reason"), why.alias("evidence"),
+    )
 
 
 def _overlay(decisions: DataFrame, later: DataFrame) -> DataFrame:
@@ -59,9 +73,20 @@ def deferred(credits: DataFrame, decisions: DataFrame) -> DataFrame:
     return credits.join(left, "credit_id", "left_semi")
 
 
+#: Places in the input, which settle ties where both sides have them.
+PLACES = ("credit_position", "settlement_position")
+
+
 def named_pairs(credits: DataFrame, settlements: DataFrame) -> DataFrame:
+    """Blocked pairs with names, narration and, where both sides have a ``position``, those."""
+    placed = "position" in credits.columns and "position" in settlements.columns
+    place = lambda n: [F.col("position").alias(PLACES[n])] if placed else []
     pairs = blocked_pairs(credits, settlements)
-    return pairs.join(credits.select("credit_id", "credit_name", "narration"), "credit_id").join(settlements.select("settlement_id", "settlement_name"), "settlement_id")
+    return pairs.join(credits.select("credit_id", "credit_name", "narration", *place(0)), "credit_id").join(settlements.select("settlement_id", "settlement_name", *place(1)), "settlement_id")
+
+
+def _ties(pairs: DataFrame) -> tuple[str, ...]:
+    return PLACES if PLACES[0] in pairs.columns else ()
 
 
 def latent(corpus: DataFrame) -> DataFrame:
@@ -69,34 +94,73 @@ def latent(corpus: DataFrame) -> DataFrame:
     return ranking.latent_vectors(keep(ranking.tfidf(corpus, word_ngrams(F.col("text")))), docs=corpus, keep=keep)
 
 
-def reconcile(credits: DataFrame, settlements: DataFrame, model: dict | None = None, **limits) -> DataFrame:
-    """All four stages: (``DECISION``) for every credit.
+def train(credits: DataFrame, settlements: DataFrame, decisions: DataFrame) -> dict:
+    """The model of stage 3: m from what stage 1 matched, u from all blocked pairs."""
+    sure = decisions.where("stage = 'deterministic' and resolution = 'MATCHED' and size(settlement_ids) = 1").select(F.col("bank_txn_id").alias("credit_id"), F.element_at("settlement_ids", 1).alias("settlement_id"))
+    every = keep(linkage.compare(named_pairs(credits, settlements)))
+    return linkage.train(every.join(sure, ["credit_id", "settlement_id"], "left_semi"), every)
 
-    ``credits`` need credit_name, ``settlements`` settlement_name.  Without a ``model`` the
-    third stage is trained on what the first matched.
-    """
-    decisions = tier1(credits, settlements, **limits)
-    if model is None:
-        sure = decisions.where("stage = 'deterministic' and resolution = 'MATCHED' and size(settlement_ids) = 1").select(F.col("bank_txn_id").alias("credit_id"), F.element_at("settlement_ids", 1).alias("settlement_id"))
-        every = keep(linkage.compare(named_pairs(credits, settlements)))
-        model = linkage.train(every.join(sure, ["credit_id", "settlement_id"], "left_semi"), every)
-    waiting = keep(deferred(credits, decisions))
-    scored = linkage.posterior(linkage.compare(named_pairs(waiting, open_settlements(settlements, decisions))), model)
-    third = _later(linkage.link(scored, keep=keep), "probabilistic", "score", "linkage score above the threshold")
-    decisions = _overlay(decisions, third)
+
+def stage3(credits: DataFrame, settlements: DataFrame, decisions: DataFrame, model: dict) -> DataFrame:
+    """``decisions`` with what linkage matches among the credits and settlements they leave open."""
     waiting = keep(deferred(credits, decisions))
-    pairs = keep(named_pairs(waiting, open_settlements(settlements, decisions)))
-    text = waiting.select(F.concat(F.lit("c"), "credit_id").alias("doc_id"), F.concat_ws(" ", "credit_name", "narration").alias("text"))
-    names = pairs.select(F.concat(F.lit("s"), "settlement_id").alias("doc_id"), F.col("settlement_name").alias("text")).distinct()
-    corpus = text.unionByName(names)
+    scored = linkage.posterior(keep(linkage.compare(named_pairs(waiting, open_settlements(settlements, decisions)))), model)
+    why = evidence(**{c: F.col(c) for c in ("bf_amount", "bf_date", "bf_name", "tf_adjustment", "weight")})
+    return _overlay(decisions, _later(linkage.link(scored, keep=keep, tie=_ties(scored)), "probabilistic", "score", "linkage score above the threshold", why))
+
+
+def ranked_pairs(credits: DataFrame, settlements: DataFrame, rrf_gate: float = ranking.RRF_GATE, primary_gate: float = ranking.PRIMARY_GATE) -> DataFrame:
+    """Blocked pairs with both signals of stage 4, their ranks and whether they pass the gates."""
+    pairs = keep(named_pairs(credits, settlements))
+    said = "settlement_text" if "settlement_text" in settlements.columns else "settlement_name"
+    text = credits.select(F.concat(F.lit("c"), "credit_id").alias("doc_id"), F.concat_ws(" ", "credit_name", "narration").alias("text"))
+    met = settlements.join(pairs.select("settlement_id").distinct(), "settlement_id", "left_semi")
+    corpus = text.unionByName(met.select(F.concat(F.lit("s"), "settlement_id").alias("doc_id"), F.coalesce(said, F.lit("")).alias("text")))
     weights = keep(ranking.tfidf(corpus, char_ngrams(F.col("text"))))
     left, right = (weights.where(F.col("doc_id").startswith(p)).withColumn("doc_id", F.substring("doc_id", 2, 1000)) for p in "cs")
     lexical = ranking.sparse_cosine(pairs, left, right, "credit_id", "settlement_id")
     vectors = keep(latent(corpus))
     v = lambda p, i, n: vectors.where(F.col("doc_id").startswith(p)).select(F.substring("doc_id", 2, 1000).alias(i), F.col("vector").alias(n))
     scored = lexical.join(v("c", "credit_id", "va"), "credit_id", "left").join(v("s", "settlement_id", "vb"), "settlement_id", "left")
-    scored = scored.withColumn("dense", F.round(F.coalesce(ranking.cosine(F.col("va"), F.col("vb")), F.lit(0.0)), 6))
-    scored = scored.withColumn("primary", ranking.primary_score(F.col("cosine"), jaro_winkler(F.coalesce("credit_name", F.lit("")), F.coalesce("settlement_name", F.lit("")))))
-    fused = ranking.fuse(scored, "credit_id", "settlement_id").where("accepted").withColumn("score", F.lit(1.0))
-    fourth = _later(linkage.greedy_claim(fused, keep=keep), "fuzzy", "primary", "first by text and by meaning")
-    return _overlay(decisions, fourth)
+    scored = scored.withColumn("dense", F.round(F.coalesce(ranking.cosine(F.col("va"), F.col("vb")), F.lit(0.0)), 6)).drop("va", "vb")
+    scored = scored.withColumn("similarity", jaro_winkler(F.coalesce("credit_name", F.lit("")), F.coalesce("settlement_name", F.lit(""))))
+    scored = scored.withColumn("primary", ranking.primary_score(F.col("cosine"), F.col("similarity")))
+    return ranking.fuse(scored, "credit_id", "settlement_id", tie=_ties(scored)[1:], rrf_gate=rrf_gate, primary_gate=primary_gate)
+
+
+def stage4(credits: DataFrame, settlements: DataFrame, decisions: DataFrame, **gates) -> DataFrame:
+    """``decisions`` with what fused ranks match among the credits and settlements they leave open."""
+    fused = ranked_pairs(keep(deferred(credits, decisions)), open_settlements(settlements, decisions), **gates).where("accepted")
+    why = evidence(**{c: F.col(c) for c in ("cosine", "similarity", "dense", "primary_rank", "dense_rank", "rrf")})
+    return _overlay(decisions, _later(linkage.greedy_claim(fused, score="rrf", keep=keep, tie=_ties(fused)), "fuzzy", "primary", "first by text and by meaning", why))
+
+
+def derive_gates(ranked: DataFrame, positive: str = "positive") -> dict[str, float]:
+    """Both gates of stage 4 from labelled pairs: midway above the highest negative of each score."""
+    out = {}
+    for gate, score in (("rrf_gate", "rrf"), ("primary_gate", "primary")):
+        out[gate] = float(derive_threshold(ranked, score, positive).first()["threshold"])
+    return out
+
+
+def match_with_linkage(credits: DataFrame, settlements: DataFrame, model: dict | None = None, **limits) -> DataFrame:
+    """Stages 1 to 3: (``DECISION``) for every credit."""
+    decisions = tier1(credits, settlements, **limits)
+    return stage3(credits, settlements, decisions, train(credits, settlements, decisions) if model is None else model)
+
+
+def reconcile(credits: DataFrame, settlements: DataFrame, model: dict | None = None, gates: dict[str, float] | None = None, **limits) -> DataFrame:
+    """All four stages: (``DECISION``) for every credit.
+
+    ``credits`` need credit_name, ``settlements`` settlement_name and may have a
+    settlement_text for the texts of stage 4.  Without a ``model`` the third stage is
+    trained on what the first matched; ``gates`` as :func:`derive_gates` gives them.  Ties
+    of later stages go by ``position`` where both have it, else by id.
+    """
+    return stage4(credits, settlements, match_with_linkage(credits, settlements, model, **limits), **(gates or {}))
+
+
+def in_input_order(decisions: DataFrame, credits: DataFrame) -> DataFrame:
+    """The decisions in the order in which their credits came (``position``)."""
+    place = credits.select(F.col("credit_id").alias("bank_txn_id"), "position")
+    return decisions.join(place, "bank_txn_id").orderBy("position", "bank_txn_id")

@@ -84,6 +84,11 @@ def read_invoices(spark: SparkSession, path: str, mode: str = "strict") -> DataF
     )
 
 
+def export_receipts(invoices: DataFrame) -> DataFrame:
+    """The invoices that were shipped abroad, for :func:`..operators.receivables.age_receipts`."""
+    return invoices.where(F.col("shipping_bill_no").isNotNull()).select("invoice_id", "invoice_minor", "realised_minor", "realisation_deadline", "shipping_bill_no", "shipping_bill_date", "currency", "purpose_code")
+
+
 def read_rates(spark: SparkSession, path: str) -> DataFrame:
     """(value_date, currency_pair, source, reference_rate): of repeated keys the last row counts."""
     raw = _read(spark, path, RATE_COLUMNS).select("position", _date("value_date").alias("value_date"), F.trim("currency_pair").alias("currency_pair"), "source", parse_rate(F.col("reference_rate")).alias("reference_rate"))
