@@ -74,9 +74,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def durable(frame: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    """Cut the lineage with a reliable checkpoint in the shared folder.
+
+    Spark deletes the shuffle files behind a checkpoint when the driver's JVM finds that
+    nothing refers to them; it is asked to look, for else they pile up over the rounds.
+    """
     shared_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+    out = frame.checkpoint(eager=True)
+    frame.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def split_join(rows: DataFrame, unique: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:

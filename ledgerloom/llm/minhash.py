@@ -243,9 +243,10 @@ def shared(h: np.ndarray, weight: np.ndarray, doc: np.ndarray, docs: int) -> np.
 def _block_links(placed: DataFrame, docs: DataFrame, threshold: float, text_col: str) -> DataFrame:
     """Links in large buckets between nodes of different components, one of them outside the main one.
 
-    ``placed``: (bucket, node, component, main, blocks).
+    ``placed``: (bucket, node, n, component, main).
     """
-    rows = placed.withColumn("side", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    size = placed.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / BLOCK_NODES, F.sum("n") / BLOCK_WORDS)).cast("int").alias("blocks"))
+    rows = placed.join(size, "bucket").withColumn("side", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     group = ("bucket", "i", "j")
     rows = rows.select("bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "component", (F.col("component") != F.col("main")).alias("outside"))
@@ -299,38 +300,38 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     spark = docs.sparkSession
     bound_batches(spark)
     rows = durable(sketch(docs, id_col, text_col))
-    total = rows.count()
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
     met = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    by_bucket = lambda frame, one: split_join(frame, one, ["bucket"], "size", BANDS * total)
-    met = durable(by_bucket(met, met.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")))
+    sizes = met.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    met = durable(met.join(sizes, "bucket"))
     score = met.groupBy("node").agg(F.sum("size").alias("score"))
-    heads = met.join(score, "node").groupBy("bucket").agg(F.first("size").alias("size"), F.max(F.struct("score", "node", "n")).alias("top"))
-    heads = durable(heads.select("bucket", "size", F.col("top.node").alias("head"), F.col("top.n").alias("m")))
-    met = durable(by_bucket(met.drop("size"), heads))
+    met = met.join(score, "node")
+    heads = met.groupBy("bucket").agg(F.max(F.struct("score", "node")).getField("node").alias("head"))
+    met = durable(met.drop("score").join(heads, "bucket"))
     ratio = F.least("n", "m") >= threshold * F.greatest("n", "m")
     pair = (F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-    first = durable(met.where((F.col("node") != F.col("head")) & ratio).withColumn("other", F.col("head")).select(*pair).distinct())
+    head_n = met.where("node = head").select("bucket", F.col("n").alias("m"))
+    first = durable(met.join(head_n, "bucket").where((F.col("node") != F.col("head")) & ratio).withColumn("other", F.col("head")).select(*pair).distinct())
     links = verify(first, docs, threshold, text_col)
     part = durable(components(links))
-    mains = heads.join(part.select(F.col("node").alias("head"), F.col("component").alias("main")), "head", "left")
-    placed = met.select("bucket", "node", "n").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = by_bucket(placed, mains.select("bucket", "size", F.coalesce("main", "head").alias("main")))
-    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_NODES, F.sum("n") / BLOCK_WORDS)).cast("int")
-    mixed = placed.groupBy("bucket").agg(F.max(F.col("component") != F.col("main")).alias("mixed"), F.first("size").alias("size"), blocks.alias("blocks"))
-    placed = durable(by_bucket(placed.drop("size"), mixed.where("mixed").drop("mixed")))
+    placed = met.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of_head = part.select(F.col("node").alias("head"), F.col("component").alias("main"))
+    placed = placed.join(of_head, "head", "left").withColumn("main", F.coalesce("main", "head"))
+    mixed = placed.groupBy("bucket").agg(F.max(F.col("component") != F.col("main")).alias("mixed")).where("mixed").select("bucket")
+    placed = durable(placed.join(mixed, "bucket"))
     small = placed.where(F.col("size") <= PAIRED)
     outside = small.where("component != main").select("bucket", "node", "n", "component")
     inside = small.select("bucket", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("there"))
     second = outside.join(inside, "bucket").where((F.col("component") != F.col("there")) & ratio).select(*pair).distinct()
     second = durable(second.join(first, ["a", "b"], "left_anti"))
-    large = placed.where(F.col("size") > PAIRED).select("bucket", "node", "component", "main", "blocks")
+    large = placed.where(F.col("size") > PAIRED).select("bucket", "node", "n", "component", "main")
     links = links.union(verify(second, docs, threshold, text_col)).union(_block_links(large, docs, threshold, text_col))
     part = components(links)
     classed = nodes.select("node", "least", "copies").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = classed.groupBy("component").agg(F.min("least").alias("class_id"), F.count("*").alias("members"))
-    classed = durable(split_join(classed, least, ["component"], "members", total).select("node", "copies", "class_id", "component"))
-    known = split_join(rows.where("node is not null").select("id", "node"), classed, ["node"], "copies", total)
+    least = classed.groupBy("component").agg(F.min("least").alias("class_id"))
+    classed = durable(classed.join(least, "component").select("node", "copies", "class_id", "component"))
+    # a text may have very many copies
+    known = split_join(rows.where("node is not null").select("id", "node"), classed, ["node"], "copies", rows.count())
     bare = rows.where("node is null").select("id", "node", F.lit(None).cast("binary").alias("component"), F.col("id").alias("class_id"))
     out = known.select(*bare.columns).unionByName(bare)
     return out.select(F.col("id").alias(id_col), "node", "component", "class_id").withColumn("kept", F.col("class_id").eqNullSafe(F.col(id_col)))
