@@ -244,3 +244,16 @@ def test_vectors_against_brute_force(spark, block):
                     up[a] = up[b] = min(up[a], up[b])
     assert {r["vec_id"]: r["component_id"] for r in got} == up and all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
     assert embeddings.near_duplicates(frame.limit(0)).count() == 0
+
+
+def test_pairs_at_the_threshold_are_found(spark):
+    """With the recall as shipped: 500 pairs whose cosine is 0.9505."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(500):
+        a, b = rng.normal(size=64), rng.normal(size=64)
+        a /= np.linalg.norm(a)
+        b -= (b @ a) * a
+        rows += [(2 * i, a.tolist()), (2 * i + 1, (0.9505 * a + np.sqrt(1 - 0.9505**2) * b / np.linalg.norm(b)).tolist())]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert got.agg(F.sum("n_links")).first()[0] >= 2 * 0.99 * 500
