@@ -134,13 +134,13 @@ def repeats(rows, window):
     return out
 
 
-@pytest.mark.parametrize(("window", "chunk_bytes"), [(35, 8 << 20), (35, 2000), (7, 1500), (2, 3000)])
-def test_repeats_equal_brute_force(spark, window, chunk_bytes):
+@pytest.mark.parametrize(("window", "chunk_bytes", "fan"), [(35, 8 << 20, 4096), (35, 2000, 4096), (7, 1500, 4096), (2, 3000, 4096), (35, 2000, 3), (2, 3000, 1)])
+def test_repeats_equal_brute_force(spark, window, chunk_bytes, fan):
     rng = random.Random(window)
     passage = " ".join(rng.choice("pqrs") + str(i) for i in range(60))
     rows = [(i, " ".join(f"u{i}_{j}" for j in range(rng.randint(0, 90))) + (" " + passage if i % 3 == 0 else "") + f" t{i} x") for i in range(40)]
     rows += [(100, "z " * 80), (101, None), (102, ""), (103, rows[0][1]), (103, rows[0][1]), (None, "  \n\t\x0b "), (105, "long " + " ".join(map(str, range(30_000))))]
-    found, names = substrings.find_repeats(with_extras(spark, rows), window, chunk_bytes=chunk_bytes)
+    found, names = substrings.find_repeats(with_extras(spark, rows), window, chunk_bytes=chunk_bytes, fan=fan)
     got = [(r["doc_id"], r[names[0]], r[names[1]], r[names[3]]) for r in found.collect()]
     assert sorted(got, key=str) == sorted(repeats(rows, window), key=str)
 
