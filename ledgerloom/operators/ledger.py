@@ -50,9 +50,15 @@ def balances(ledger: DataFrame) -> DataFrame:
     return ledger.select(sides).select("s.*").groupBy("account").agg(F.sum("debit").alias("debits_minor"), F.sum("credit").alias("credits_minor"), (F.sum("credit") - F.sum("debit")).alias("net_minor"))
 
 
-def sequenced(transfers: DataFrame, after: int = 0) -> DataFrame:
-    """Transfers with a strictly increasing ``sequence`` by id, without one task for all: offsets per range partition."""
-    ranged = transfers.repartitionByRange("transfer_id").sortWithinPartitions("transfer_id").withColumn("part", F.spark_partition_id())
+def sequenced(transfers: DataFrame, after: int = 0, keep=None) -> DataFrame:
+    """Transfers with a strictly increasing ``sequence`` by id, without one task for all: offsets per range partition.
+
+    The ranges come from a sample and may be merged by size, so a second evaluation may cut
+    them elsewhere: ``keep(frame)`` writes them before their sizes are taken (default: a
+    reliable checkpoint).
+    """
+    keep = keep or (lambda frame: frame.checkpoint(eager=True))
+    ranged = keep(transfers.repartitionByRange("transfer_id").sortWithinPartitions("transfer_id").withColumn("part", F.spark_partition_id()))
     ranged = ranged.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy("transfer_id")))
     sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
     before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("part", F.coalesce("before", F.lit(0)).alias("before"))
