@@ -1,8 +1,12 @@
 """What goes wrong on larger tables only."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import ledger
+from ledgerloom.operators import ledger, subset_sum
+
+from .test_matching import slow_search
 
 
 def test_sequence_is_gapless_over_many_ranges(spark):
@@ -15,3 +19,20 @@ def test_sequence_is_gapless_over_many_ranges(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert tuple(found) == (n, n, 1, n)
+
+
+def test_search_without_a_budget_visits_the_whole_tree_in_blocks(monkeypatch):
+    rng = random.Random(9)
+    for block in (1, 7, 300, 2_000_000):
+        monkeypatch.setattr(subset_sum, "BLOCK", block)
+        for _ in range(60):
+            a = sorted((rng.randint(1, rng.choice([30, 400])) for _ in range(rng.randint(0, 14))), reverse=True)
+            args = a, rng.randint(1, 900), rng.choice([0, 5, 100]), rng.randint(1, 8)
+            assert subset_sum.search(*args, None) == slow_search(*args, 10**9)
+
+
+def test_search_goes_beyond_the_default_budget():
+    amounts = list(range(1300, 1255, -1))
+    assert subset_sum.search(amounts, 6 * 1280, 0)[3:5] == (subset_sum.NODE_BUDGET + 1, True)
+    _, kept, _, nodes, spent, _ = subset_sum.search(amounts, 6 * 1280, 0, budget=None)
+    assert nodes > subset_sum.NODE_BUDGET and not spent and len(kept) == subset_sum.RIVALS
