@@ -1,10 +1,13 @@
 """What goes wrong on larger tables only."""
 
+import datetime
 import random
 
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import ledger, subset_sum
+from ledgerloom.operators import ledger, linkage, pool, subset_sum
+from ledgerloom.plans import catalog
+from ledgerloom.plans.reconcile import keep, named_pairs, scored_pairs
 
 from .test_matching import slow_search
 
@@ -36,3 +39,32 @@ def test_search_goes_beyond_the_default_budget():
     assert subset_sum.search(amounts, 6 * 1280, 0)[3:5] == (subset_sum.NODE_BUDGET + 1, True)
     _, kept, _, nodes, spent, _ = subset_sum.search(amounts, 6 * 1280, 0, budget=None)
     assert nodes > subset_sum.NODE_BUDGET and not spent and len(kept) == subset_sum.RIVALS
+
+
+def _books(spark, n=60):
+    rng, day = random.Random(2), datetime.date(2026, 8, 10)
+    name = lambda: rng.choice([None, "", "ACME", "ACME LTD", "ACMEE", "ZEBRA"])
+    some = lambda p, k: [(f"{p}{i:03d}", rng.choice([100, 101, 5000, 9000]), rng.choice(["INR", "USD"]), rng.choice([None, day + datetime.timedelta(days=rng.randint(0, 80))]) if i % 9 == 0 else day + datetime.timedelta(days=rng.randint(0, 80)), name()) for i in range(k)]
+    c = spark.createDataFrame([(a, b, d, e, e, "x", f) for a, b, d, e, f in some("c", n)], "credit_id string, amount_minor long, currency string, value_date date, booking_date date, narration string, credit_name string")
+    return c, spark.createDataFrame(some("s", n), "settlement_id string, amount_minor long, currency string, settled_at date, settlement_name string")
+
+
+def test_totals_of_blocked_pairs_need_no_pairs(spark):
+    c, s = _books(spark)
+    want = pool.blocked_pairs(c, s).groupBy("credit_id").agg(F.count("*"), F.sum("days"), F.sum("amount_minor"))
+    assert sorted(map(tuple, pool.blocked_totals(c, s).collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_pairs_are_not_shuffled_for_names(spark):
+    plan = named_pairs(*_books(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 1
+
+
+def test_scored_pairs_equal_the_posterior_of_all(spark):
+    c, s = _books(spark)
+    loose = catalog.MODEL | {"amount": [(4, 0.9, 0.0001), (3, 0.5, 0.0001), (2, 0.5, 0.0001), (1, 0.02, 0.02), (0, 0.01, 0.9)]}
+    for model in (catalog.MODEL, loose):
+        want = {tuple(r) for r in linkage.posterior(keep(linkage.compare(named_pairs(c, s))), model).select("credit_id", "settlement_id", "weight", "score").collect()}
+        for least in (None, 0.25, 0.01):
+            found = [tuple(r) for r in scored_pairs(c, s, model, least).select("credit_id", "settlement_id", "weight", "score").collect()]
+            assert len(found) == len(set(found)) and set(found) == {r for r in want if least is None or r[3] >= least} and found
