@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import ledger, linkage, pool, subset_sum
+from ledgerloom.operators import grading, ledger, linkage, pool, subset_sum
 from ledgerloom.plans import catalog
 from ledgerloom.plans.reconcile import keep, named_pairs, scored_pairs
 
@@ -68,3 +68,11 @@ def test_scored_pairs_equal_the_posterior_of_all(spark):
         for least in (None, 0.25, 0.01):
             found = [tuple(r) for r in scored_pairs(c, s, model, least).select("credit_id", "settlement_id", "weight", "score").collect()]
             assert len(found) == len(set(found)) and set(found) == {r for r in want if least is None or r[3] >= least} and found
+
+
+def test_a_threshold_rests_on_the_counts_of_scores(spark):
+    rows = spark.range(0, 3000).select((F.col("id") % 7 == 0).alias("positive"), (F.col("id") % 13 / 20 + F.when(F.col("id") % 7 == 0, 0.2).otherwise(0.0)).alias("score"))
+    few = grading.counted(rows)
+    assert few.count() < 30
+    one, other = grading.derive_threshold(rows).first().asDict(), grading.derive_threshold(few, weight="n").first().asDict()
+    assert one == other and one["positive_n"] + one["negative_n"] == 3000
