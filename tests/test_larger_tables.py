@@ -55,6 +55,18 @@ def test_totals_of_blocked_pairs_need_no_pairs(spark):
     assert sorted(map(tuple, pool.blocked_totals(c, s).collect())) == sorted(map(tuple, want.collect())) != []
 
 
+def test_totals_of_pools_need_no_pairs(spark, sf, monkeypatch):
+    dated, settled = _books(spark)[0].where("value_date is not null"), _books(spark)[1].where("settled_at is not null and amount_minor <> 101")
+    for size in (16_384, 3):
+        monkeypatch.setattr(pool, "GROUP_CREDITS", size)
+        for c, s in (_books(spark), (dated, settled)):
+            for limit in (64, 3, 1):
+                want = pool.candidate_pool(c, s, limit=limit).groupBy("credit_id").agg(F.count("*"), F.max("truncated"), F.sum("days"), F.sum("amount_minor"))
+                assert sorted(map(tuple, pool.pool_totals(c, s, limit=limit).collect())) == sorted(map(tuple, want.collect())) != []
+    monkeypatch.setattr(pool, "candidate_pairs", None)  # no pairs where all dates are known
+    assert pool.pool_totals(dated, settled).count() and catalog.QUERIES["q06_candidate_pool"](spark, sf).count()
+
+
 def test_pairs_are_not_shuffled_for_names(spark):
     plan = named_pairs(*_books(spark))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join Inner") == 1
